@@ -43,32 +43,43 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words that lie in a 3-word window found at least twice: equal windows are neighbours once sorted."""
+    """Words that lie in a 3-word window found at least twice: equal windows are neighbours once sorted.
 
-    def count(w: Column) -> Column:
-        n = F.size(w)
-        windows = F.zip_with(F.zip_with(w, F.slice(w, 2, F.greatest(n, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)), F.slice(w, 3, F.greatest(n, F.lit(1))), lambda ab, c: F.concat_ws(" ", ab, c))
-        placed = F.sort_array(F.transform(F.slice(windows, 1, n - 2), lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
-        later = lambda s: F.slice(s, 2, F.greatest(F.size(s), F.lit(1)))
-        pairs = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), later(s), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)))
-        return _let(placed, lambda s: F.when(F.size(s) > 1, F.size(F.array_distinct(F.flatten(F.filter(pairs(s), lambda p: p.isNotNull()))))).otherwise(0))
+    Windows are sorted as one long each, 43 bits of a hash over 21 bits of position, and neighbours with equal hashes are
+    compared word by word. Where such a comparison fails, or a text has too many words for the position, the
+    windows themselves are sorted, so the count is exact.
+    """
+    tail = lambda a, k: F.slice(a, k, F.greatest(F.size(a), F.lit(1)))
+    covered = lambda pairs: F.size(F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.array(p[0], p[0] + 1, p[0] + 2, p[1], p[1] + 1, p[1] + 2)))))
+    adjacent = lambda s, same: F.filter(F.zip_with(F.slice(s, 1, F.size(s) - 1), tail(s, 2), same), lambda p: p.isNotNull())
 
-    return _let(words, lambda w: F.when(F.size(w) > 3, count(w)).otherwise(0))
+    def by_text(w: Column) -> Column:
+        windows = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.struct(F.concat_ws(" ", x, w[i + 1], w[i + 2]).alias("w"), i.alias("i")))
+        return _let(F.sort_array(windows), lambda s: covered(adjacent(s, lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))))
+
+    def by_hash(w: Column) -> Column:
+        windows = F.slice(F.arrays_zip(w, tail(w, 2), tail(w, 3)), 1, F.size(w) - 2)
+        keys = F.sort_array(F.transform(windows, lambda x, i: F.shiftleft(F.xxhash64(x), 21).bitwiseOR(i.cast("long"))))
+        place = lambda a: a.bitwiseAND(F.lit((1 << 21) - 1)).cast("int")
+        pairs = _let(keys, lambda s: adjacent(s, lambda a, b: F.when(F.shiftright(a, 21) == F.shiftright(b, 21), F.array(place(a), place(b)))))
+        equal = lambda p: (w[p[0]] == w[p[1]]) & (w[p[0] + 1] == w[p[1] + 1]) & (w[p[0] + 2] == w[p[1] + 2])
+        return _let(pairs, lambda p: F.when(F.size(p) == 0, 0).when(F.forall(p, equal), covered(p)).otherwise(by_text(w)))
+
+    return _let(words, lambda w: F.when(F.size(w) < 4, 0).when(F.size(w) < (1 << 21), by_hash(w)).otherwise(by_text(w)))
 
 
 def signals(docs: DataFrame) -> DataFrame:
     """Counts of every whole text, with ``base_failed`` and the stratum; one row per row of ``docs``."""
     text = text_of(docs)
     words = F.filter(F.split(text, BLANK), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "")
     rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
-        F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup"))).alias("l"),
-        _let(words, lambda w: F.struct(F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat"))).alias("w"),
+        _let(words, lambda w: F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("n_chars"), _repeat_words(w).alias("n_repeat"))).alias("w"),
     )
-    rows = rows.select("doc_id", F.col("w.n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", F.col("l.n_dup").cast("long").alias("n_dup_lines"), F.col("w.n_repeat").cast("long").alias("n_repeat_words"), F.col("l.n_lines").cast("long").alias("n_lines"))
+    rows = rows.select("doc_id", F.col("w.n_words").cast("long").alias("n_words"), F.col("w.n_chars").cast("long").alias("word_chars"), "n_symbols", F.col("l.n_dup").cast("long").alias("n_dup_lines"), F.col("w.n_repeat").cast("long").alias("n_repeat_words"), F.col("l.n_lines").cast("long").alias("n_lines"))
     stratum = F.lit(len(STRATA))
     for i, bound in reversed(list(enumerate(STRATA))):
         stratum = F.when(F.col("n_words") < bound, i).otherwise(stratum)
