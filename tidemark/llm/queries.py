@@ -7,14 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, labels
+from .jaccard_join import join
 from .langid import identify
 from .packing import pack
+from .pii import find
 from .quality_rules import quality
 from .sstable import read_shards, write_shards
+from .substring_dedup import dedup
 from .tokens import default_tokenizer
 from .toxicity import toxicity
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(documents(spark, sf_dir)).drop("n_added")
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join(documents(spark, sf_dir))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), default_tokenizer())
 
@@ -35,6 +50,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir)).drop("marks")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_best_fit_packing, op7_language_id, op8_quality_rules, op9_token_output, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op4_ngram_jaccard_join, op6_line_dedup, op3_best_fit_packing, op7_language_id, op8_quality_rules, op9_token_output, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
