@@ -118,22 +118,28 @@ def _blocked(df: DataFrame, key: str, block, total) -> DataFrame:
     return df.withColumn("block", block).withColumn("pair", F.explode(others)).select(key, F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), *[c for c in df.columns if c != key], "block")
 
 
+def _row_keys(docs: DataFrame) -> list:
+    """128 bits, as two hashes, of identifier and text."""
+    parts = (docs["doc_id"].cast("long"), text_of(docs))
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, n`` (distinct shingles) and ``sig`` (MinHash values) of every document."""
-    out = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("sig", pa.binary())])
+    """``doc_id, k1, k2`` (hashes of the row), ``digest, n`` (distinct shingles) and ``sig`` (MinHash values) of every document."""
+    out = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("sig", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[], [], []]
-            for text in batch.column(1):
+            for text in batch.column(3):
                 words = words_of(text.as_py())
                 values = shingles(words)
                 cols[0].append(digest(words))
                 cols[1].append(len(values))
                 cols[2].append(minhash(values).tobytes() if len(values) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], schema=out)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], schema=out)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(read, "doc_id long, digest binary, n int, sig binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_row_keys(docs), text_of(docs).alias("text")).mapInArrow(read, "doc_id long, k1 long, k2 long, digest binary, n int, sig binary")
 
 
 def survivors(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -216,12 +222,8 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 1e-7) -> DataFrame:
-    """``doc_id, class_id, copy_id, n_copies, n_links`` of every document.
-
-    ``class_id`` is the smallest identifier of the documents that links connect, ``copy_id`` that of the copies, and
-    ``n_links`` the number of other documents at similarity ``threshold`` or more, copies included.
-    """
+def _joined(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """The columns of ``join``, the hashes of the row, and ``class_key`` (null for texts without words)."""
     table = materialize(sketch(docs), "sketch")
     classes = table.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("copy_id"), F.count("*").alias("members"))
     reps = materialize(classes, "classes")
@@ -275,12 +277,42 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 1e-7)
     roots = components(verified.select("a", "b")).select(F.col("node").alias("digest"), "root")
     named = reps.select("digest", "copy_id", "members").join(links, "digest", "left").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     first = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    info = named.join(first, "root").select("digest", "class_id", "copy_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
-    own = table.select("doc_id", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    info = named.join(first, "root").select("digest", F.col("root").alias("class_key"), "class_id", "copy_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
+    own = table.select("doc_id", "k1", "k2", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    alone = F.col("digest").isNull()
     return own.join(info, "digest", "left").select(
         "doc_id",
-        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("members", F.lit(1)).cast("long").alias("n_copies"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("members", F.lit(1)) - 1).cast("long").alias("n_links"),
+        "k1",
+        "k2",
+        "class_key",
     )
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 1e-7) -> DataFrame:
+    """``doc_id, class_id, copy_id, n_copies, n_links`` of every document.
+
+    ``class_id`` is the smallest identifier of the documents that links connect, ``copy_id`` that of the copies, and
+    ``n_links`` the number of other documents at similarity ``threshold`` or more, copies included.
+    """
+    return _joined(docs, threshold, tolerance).drop("k1", "k2", "class_key")
+
+
+def unique(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 1e-7) -> DataFrame:
+    """The documents, all columns kept, without near duplicates: of each class the row with the smallest identifier stays.
+
+    Texts without words are no duplicates of each other and stay; of rows that repeat both identifier and text one stays.
+    A class without an identifier keeps the row with the smallest hash.
+    """
+    names = docs.columns
+    found = _joined(docs, threshold, tolerance)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("r")
+    # Minima are pre-aggregated, so a class of any size is no single group.
+    keys = found.where("class_key is not null").groupBy("class_key").agg(first).select("r.k1", "r.k2")
+    keys = keys.unionByName(found.where("class_key is null").select("k1", "k2").distinct())
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(names)], *_row_keys(docs))
+    one = rows.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return one.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, labels
+from .decontam import search
 from .jaccard_join import join
 from .langid import identify
 from .packing import pack
@@ -22,6 +23,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(documents(spark, sf_dir)).drop("n_added")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
 
@@ -50,6 +55,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir)).drop("marks")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op4_ngram_jaccard_join, op6_line_dedup, op3_best_fit_packing, op7_language_id, op8_quality_rules, op9_token_output, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_benchmark_decontamination, op4_ngram_jaccard_join, op6_line_dedup, op3_best_fit_packing, op7_language_id, op8_quality_rules, op9_token_output, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -251,10 +251,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(lexicon.value, w, b + math.log(taken[0] / taken[1]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, score, predicted, marks`` of every document (and the columns ``keep`` of ``docs``)."""
+def _scored(docs: DataFrame, labels: DataFrame, sample: int, model: Model | None, fields: list) -> DataFrame:
+    """Scores, and the given fields of ``docs`` as ``kept_0`` ...: their names may be those of the scores."""
     fitted = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels, sample))
-    fields = [f for f in docs.schema.fields if f.name in keep]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (fold(docs["doc_id"]) == 0).alias("held_out"), text_of(docs).alias("text"), *[docs[f.name].alias(f"kept_{i}") for i, f in enumerate(fields)])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,5 +273,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, model: Mo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(marks, pa.string()), *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", "marks", *[f"kept_{i}" for i in range(len(fields))]])
 
     schema = "doc_id long, held_out boolean, score double, predicted int, marks string" + "".join(f", kept_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
-    out = rows.mapInArrow(predict, schema)
-    return out.select("doc_id", "held_out", "score", "predicted", "marks", *[F.col(f"kept_{i}").alias(f.name) for i, f in enumerate(fields) if f.name != "doc_id"])
+    return rows.mapInArrow(predict, schema)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, model: Model | None = None) -> DataFrame:
+    """``doc_id, held_out, score, predicted, marks`` of every document."""
+    return _scored(docs, labels, sample, model, [])
+
+
+def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, model: Model | None = None) -> DataFrame:
+    """The documents, all columns kept, that are not predicted to be toxic."""
+    fields = docs.schema.fields
+    return _scored(docs, labels, sample, model, fields).where("predicted = 0").select(*[F.col(f"kept_{i}").alias(f.name) for i, f in enumerate(fields)])
