@@ -3,17 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, labels, materialize
+from tidemark.llm.decontam import decontaminate
+from tidemark.llm.jaccard_join import unique
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import redact
 from tidemark.llm.tokens import default_tokenizer
-from tidemark.llm.toxicity import toxicity
+from tidemark.llm.toxicity import reject
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar of op10 predicts as toxic go."""
-    scored = toxicity(docs, labels(spark, sf_dir), keep=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return reject(docs, labels(spark, sf_dir))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that near-duplicate links connect, the one with the smallest identifier stays."""
+    return unique(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, in its words or paraphrased, go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; ``n_chars`` follows."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +39,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack(docs, default_tokenizer())
 
 
-STAGES = [("toxicity", reject_toxic), ("packing", pack_sequences)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", keep_one_of_each_group),
+    ("benchmark_decontamination", drop_leaks),
+    ("pii", redact_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
 #: The stages train models and encode tokens, which SQL cannot express.
 ORACLE_SQL = None
 
