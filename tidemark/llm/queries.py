@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import suffix_dedup
 from .common import documents, labels
 from .decontam import search
 from .jaccard_join import join
@@ -31,6 +33,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.dedup(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir))
 
@@ -55,6 +62,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir)).drop("marks")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_benchmark_decontamination, op4_ngram_jaccard_join, op6_line_dedup, op3_best_fit_packing, op7_language_id, op8_quality_rules, op9_token_output, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_benchmark_decontamination, op4_ngram_jaccard_join, op5_suffix_dedup, op6_line_dedup, op3_best_fit_packing, op7_language_id, op8_quality_rules, op9_token_output, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
