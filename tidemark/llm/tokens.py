@@ -69,7 +69,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            stands = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            stands = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
             got = np.array([t.id for t in self.tokenizer.model.tokenize(stands)], dtype="<u4").tobytes()
             if len(word) <= MEMO_CHARS:
                 if len(self.words) >= MEMO_WORDS:
