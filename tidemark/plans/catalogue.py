@@ -14,10 +14,12 @@ from tidemark.operators import events as E
 from tidemark.operators import features as P
 from tidemark.operators import grid as G
 from tidemark.operators import markout as M
+from tidemark.operators import ml as ML
 from tidemark.operators.asof import asof_mid, mids_at
 from tidemark.plans import oracle as O
 from tidemark.sources.feeds import Feeds, from_events, sample_trades
 from tidemark.spec import FIXTURE
+from tidemark.streaming import streams as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -327,12 +329,12 @@ def q_cascade_meta(f: Feeds) -> DataFrame:
 
 @query(O.around([(str(o), o + 2.5, o, o + 5) for o in range(-60, 300, 5)], True))
 def q_cascade_profile(f: Feeds) -> DataFrame:
-    return eda.cascade_profile(f).select("sym", F.col("offset").cast("string").alias("point"), *r("move", "spread_bps", "depth_usd", "obi_signed", "trade_rate", "flow_signed", "binance", "bybit"))
+    return eda.cascade_profile(f).select("sym", F.col("offset").cast("string").alias("point"), *r("move", "spread_bps", "obi_signed", "trade_rate", "flow_signed", "binance", "bybit"), *r("depth_usd", digits=2))
 
 
 @query(O.around([(p, c, lo, hi) for p, (lo, hi, c) in eda.PHASES.items()], False))
 def q_cascade_phases(f: Feeds) -> DataFrame:
-    return eda.cascade_phases(f).select("sym", F.col("phase").alias("point"), *r("move", "spread_bps", "depth_usd", "obi_signed", "trade_rate", "flow_signed", "binance", "bybit"))
+    return eda.cascade_phases(f).select("sym", F.col("phase").alias("point"), *r("move", "spread_bps", "obi_signed", "trade_rate", "flow_signed", "binance", "bybit"), *r("depth_usd", digits=2))
 
 
 @query(O.PHASE_TAGS)
@@ -351,6 +353,35 @@ def q_missingness(f: Feeds) -> DataFrame:
     return A.missingness(M.markouts(f), ["sym"], ["pnl_30", "pnl_120", "pnl_300"]).select("sym", "feature", *r("missing", digits=6))
 
 
+QUERIES["q_stream_flow_grid"] = lambda spark, sf_dir: S.drain(S.flow_grid(S.event_stream(spark, sf_dir), FIXTURE), "flow_grid").select("sym", "sec", *r("signed_vol", "tot_vol"), "cnt")
+QUERIES["q_stream_sessions"] = lambda spark, sf_dir: S.drain(S.sessions(S.event_stream(spark, sf_dir), FIXTURE), "sessions").select("sym", "begin_t", "end_t", "n", "n_sell")
+ORACLE_SQL |= {"q_stream_flow_grid": O.STREAM_FLOW_GRID, "q_stream_sessions": O.STREAM_SESSIONS}
+
+
+MODEL_FEATURES = ["obi_signed", "px_vs_mid_bps", "score", "dt_last_bybit_liq_s"]
+
+
+def _model_rows(f: Feeds) -> DataFrame:
+    rows = rule_rows(f).join(P.book_state(f), "trade_id").join(E.seconds_since(f.trades, "trade_id", f.bybit, f.spec).withColumnRenamed("since", "dt_last_bybit_liq_s"), "trade_id")
+    obi = X.imbalance(F.col("bid_amount"), F.col("ask_amount"))
+    return rows.withColumns({"obi_signed": obi * F.col("s"), "px_vs_mid_bps": X.distance_bps(F.col("s"), F.col("price"), F.col("mid"))})
+
+
+@query()
+def q_gbt_score(f: Feeds) -> DataFrame:
+    """A boosted model of the markout at 30 s, fitted on the training split; its scores of all trades."""
+    rows = _model_rows(f)
+    model = ML.fit(rows.where("split = 'train'"), MODEL_FEATURES, "pnl_30", "mse", iterations=10)
+    return ML.predict(model, rows, "gbt_score").select("trade_id", "sym", "split", "gbt_score")
+
+
+@query()
+def q_importance(f: Feeds) -> DataFrame:
+    rows = _model_rows(f)
+    model = ML.fit(rows.where("split = 'train'"), MODEL_FEATURES, "pnl_30", "mse", iterations=5)
+    return ML.permutation_importance(model, rows.where("split = 'val'"), "pnl_30", repeats=1)
+
+
 @query(O.WF_SUMMARY)
 def q_wf_summary(f: Feeds) -> DataFrame:
     """Walk-forward folds of ten days with the fixed rule, summarised."""

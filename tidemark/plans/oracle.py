@@ -93,6 +93,9 @@ _GRID = f", g as (select sym, t // {US} as sec, sum(s * amount) as signed_vol, s
 FLOW_GRID = FEEDS + _GRID + f" select sym, sec, {_round('signed_vol tot_vol')}, cnt from dg"
 
 
+STREAM_FLOW_GRID = FEEDS + _GRID + f" select sym, sec, {_round('signed_vol tot_vol')}, cnt::integer as cnt from g"
+
+
 def _flow() -> str:
     out = []
     for w in (30, 300):
@@ -194,6 +197,7 @@ def trade_impact(offsets) -> str:
 _ORDER = "order by t, seq * 2 + case when venue = 'bybit' then 1 else 0 end"
 _CASCADES = f", gp as (select *, t - lag(t) over (partition by sym {_ORDER}) as gap from liq), sn as (select *, sum(case when gap is null or gap > {10 * US} then 1 else 0 end) over (partition by sym {_ORDER} rows unbounded preceding) as sid from gp), cs as (select sym, sid, min(t) as begin_t, max(t) as end_t, count(*) as n, case when sum(sgn) >= 0 then 1 else -1 end as sgn, count(case when side = 'sell' then 1 end) as n_sell from sn group by 1, 2 having count(*) >= 5)"
 CASCADES = FEEDS + _CASCADES + " select sym, begin_t, end_t, n, cast(sgn as bigint) as sgn, n_sell from cs"
+STREAM_SESSIONS = FEEDS + _CASCADES.replace("having count(*) >= 5", "") + " select sym, begin_t, end_t, n, n_sell from cs"
 _VALID = _CASCADES + ", vc as (select c.*, b.mid as m0 from cs c asof left join bbo b on c.sym = b.sym and c.begin_t >= b.t join ends e on c.sym = e.sym where b.mid is not null and c.begin_t <= e.last_t)"
 CASCADE_META = FEEDS + _VALID + f", ow as (select sn.sym, sn.sid, least(floor((sn.t - vc.begin_t) / {5 * US}.0::double), 59) as bin, sum(notional) as v from sn join vc on sn.sym = vc.sym and sn.sid = vc.sid where sn.t - vc.begin_t <= {300 * US} group by 1, 2, 3), tp as (select sym, sid, bin, row_number() over (partition by sym, sid order by v desc, bin) as rn from ow) select vc.sym, count(*) as n, {rd('avg(case when sgn < 0 then 1.0::double else 0.0::double end)')} as sell_share, {rd(f'median((end_t - begin_t) / {US}.0::double)')} as median_span, {rd('median(bin * 5 + 2.5::double)')} as median_climax from vc join tp on vc.sym = tp.sym and vc.sid = tp.sid and rn = 1 group by vc.sym"
 
@@ -209,7 +213,7 @@ def around(points, closed: bool) -> str:
  ba as (select sym, point, avg(mv) as move, avg(spread / mid * 1e4::double) as spread_bps, avg((bid_amount + ask_amount) * mid) as depth_usd, avg(sgn * (bid_amount - ask_amount) / greatest(bid_amount + ask_amount, 1e-9)) as obi_signed, count(*) as n from bk group by 1, 2),
  fl as (select q.sym, q.point, sum(coalesce(g.cnt, 0) / (q.hi - q.lo)::double) as tr, sum(q.sgn * coalesce(g.signed_vol, 0) / (q.hi - q.lo)) as fl from q left join g on q.sym = g.sym and g.sec >= q.bs + q.lo and g.sec < q.bs + q.hi group by 1, 2),
  ow as (select q.sym, q.point, sum(case when sn.venue = 'binance' then sn.notional end) as binance, sum(case when sn.venue = 'bybit' then sn.notional end) as bybit from q join sn on q.sym = sn.sym and q.sid = sn.sid where sn.t - q.begin_t >= q.lo * {US}::bigint and (sn.t - q.begin_t < q.hi * {US}::bigint or (q.cl and sn.t - q.begin_t = q.hi * {US}::bigint)) group by 1, 2)
- select ba.sym, ba.point, {_round('move spread_bps depth_usd obi_signed')}, {rd('tr / n')} as trade_rate, {rd('fl / n')} as flow_signed, {rd(f'coalesce(binance, 0){mean}')} as binance, {rd(f'coalesce(bybit, 0){mean}')} as bybit from ba join fl on ba.sym = fl.sym and ba.point = fl.point left join ow on ba.sym = ow.sym and ba.point = ow.point"""
+ select ba.sym, ba.point, {_round('move spread_bps obi_signed')}, {rd('depth_usd', 2)} as depth_usd, {rd('tr / n')} as trade_rate, {rd('fl / n')} as flow_signed, {rd(f'coalesce(binance, 0){mean}')} as binance, {rd(f'coalesce(bybit, 0){mean}')} as bybit from ba join fl on ba.sym = fl.sym and ba.point = fl.point left join ow on ba.sym = ow.sym and ba.point = ow.point"""
 
 
 PHASE_TAGS = _pnl((120,)) + _CASCADES + f", a as (select p.*, c.begin_t from pnl p asof left join cs c on p.sym = c.sym and p.t >= c.begin_t), b as (select a.*, n.begin_t as next_t from a asof left join cs n on a.sym = n.sym and a.t <= n.begin_t), x as (select *, case when next_t - t <= {30 * US} then 'pre' when t - begin_t >= 0 and t - begin_t < {5 * US} then 'begin' when t - begin_t >= {5 * US} and t - begin_t < {12 * US} then 'middle' when t - begin_t >= {12 * US} and t - begin_t < {30 * US} then 'end' when t - begin_t >= 0 and t - begin_t < {300 * US} then 'after' else 'quiet' end as phase from b) select sym, phase, count(*) as n, {rd('avg(pnl_120)')} as pnl_120 from x group by 1, 2"
