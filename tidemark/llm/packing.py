@@ -81,6 +81,11 @@ class _Lengths:
             del self.count[length]
             self.keys.pop(bisect.bisect_left(self.keys, length))
 
+    def put(self, length: int, n: int) -> None:
+        if length not in self.count:
+            bisect.insort(self.keys, length)
+        self.count[length] = self.count.get(length, 0) + n
+
     def smallest(self, k: int) -> int | None:
         """Length of the ``k`` shortest remaining pieces together, None if there are fewer."""
         total = 0
@@ -121,45 +126,32 @@ def solve(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, i
         plan.append((length, rank[length], n, per, first, offset))
         rank[length] += n * per
 
-    # Reduction: lengths in descending order; what no rule covers is set aside for best fit.
-    rest: dict[int, int] = {}
-    while left.keys:
-        j = left.keys[-1]
-        n = left.count[j]
+    # Reduction: lengths in descending order; what no rule covers stays, also as a partner of shorter pieces.
+    for j in reversed(left.keys.copy()):
         room = capacity - j
-        left.take(j, n)
-        while n:
-            i = left.at_most(room)
-            own = j <= room and n > 1  # pieces of the same length fit beside it
-            partner = j if own and (i is None or j >= i) else i
+        while n := left.count.get(j, 0):
+            left.take(j, 1)  # the rules are about the pieces beside one of length j
+            partner, two, three = left.at_most(room), left.smallest(2), left.smallest(3)
+            sure = partner is None or partner == room or two is None or two > room or (three is None or three > room) and partner >= left.best_pair(room)
+            left.put(j, 1)
+            if not sure:
+                break
             if partner is None:
                 put(j, n, 1, bins, 0)
-                bins += n
-                n = 0
-                continue
-            if partner == j:
-                left.count[j] = n - 1  # so that the rules see the other pieces of this length
-                left.keys.append(j)
-            two, three = left.smallest(2), left.smallest(3)
-            sure = partner == room or two is None or two > room or (three is None or three > room) and partner >= left.best_pair(room)
-            if partner == j:
-                left.keys.pop()
-                del left.count[j]
-            if not sure:
-                rest[j] = rest.get(j, 0) + n
-                n = 0
+                left.take(j, n)
+                m = n
             elif partner == j:
                 m = n // 2
                 put(j, m, 2, bins, 0)
-                bins += m
-                n -= 2 * m
+                left.take(j, 2 * m)
             else:
                 m = min(n, left.count[partner])
                 put(j, m, 1, bins, 0)
                 put(partner, m, 1, bins, j)
+                left.take(j, m)
                 left.take(partner, m)
-                bins += m
-                n -= m
+            bins += m
+    rest = dict(left.count)
     fixed = bins
 
     # Best-fit decreasing on runs (first sequence, sequences) by free space.
