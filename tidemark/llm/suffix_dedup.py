@@ -74,6 +74,8 @@ def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
 
 def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by context and rank, and for each the number of its context's first row."""
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
     rows = rows[np.lexsort((rows["lo"], rows["key"], rows["doc"], rows["context"], rows["gram"]))]
     new = np.concatenate([[True], (rows["gram"][1:] != rows["gram"][:-1]) | (rows["context"][1:] != rows["context"][:-1])])
     return rows, np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -229,8 +231,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             often = np.zeros(len(all_), bool)
             if len(all_):
                 often[order[1:][same]] = often[order[:-1][same]] = True
-            some, first = _firsts(all_[often]) if often.any() else (all_[:0], np.zeros(0, np.int64))
-            later = _later(some, first) if len(some) else np.zeros(0, bool)
+            some, first = _firsts(all_[often])
+            later = _later(some, first)
             lead = some[first == np.arange(len(some))]
             # Anchors with several contexts: their bytes have to be compared.
             several = np.zeros(len(lead), bool)
