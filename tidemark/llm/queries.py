@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import suffix_dedup
+from . import oracle, suffix_dedup
 from .common import documents, labels
 from .decontam import search
 from .jaccard_join import join
@@ -64,4 +64,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_benchmark_decontamination, op4_ngram_jaccard_join, op5_suffix_dedup, op6_line_dedup, op3_best_fit_packing, op7_language_id, op8_quality_rules, op9_token_output, op10_toxicity)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": oracle.JACCARD_JOIN,
+    "op6_line_dedup": oracle.LINE_DEDUP,
+    "op8_quality_rules": oracle.quality_rules(),
+}
