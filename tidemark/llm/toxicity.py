@@ -8,8 +8,9 @@ function of the summed clause weights, so negated or quoted insults count as the
 outside a matched clause count nothing.
 
 The insult lexicon is learned from labelled rows outside the held-out fold: word beginnings that mark toxic documents with
-high precision, each as long as it can be without losing support; the weights are their log odds. One half of a sample of
-about ``sample`` rows of each label (twice that at most) gives the lexicon, the other the logistic weights. Labels, language,
+high precision and beyond chance, each as long as it can be without losing support; the weights are their log odds. One half of
+a sample of about ``sample`` toxic rows and ``CLEAN_RATIO`` times as many others (twice that at most) gives the lexicon, the other the
+logistic weights; a small sample gives both. Labels, language,
 source and identifier are never inputs of a score.
 
 Nulls: a null text is empty, and an empty text gets the score of no evidence. Rows with a null label are not learned from;
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 from .common import fold, text_of
 
 SAMPLE = 4000
-#: A word beginning enters the lexicon with at least this many toxic documents and this precision at equal class sizes.
-SUPPORT, PRECISION = 6, 0.9
+#: Clean documents are drawn this many times as often, and with fewer toxic ones than this both steps learn from all of the sample.
+CLEAN_RATIO, FEW = 4, 400
+#: A word beginning enters the lexicon with this precision at equal class sizes, if so many of its documents would be toxic by
+#: chance, at the sample's share of toxic ones, with a probability below CHANCE. Fewer than SUPPORT documents are not counted.
+SUPPORT, PRECISION, CHANCE = 6, 0.9, 1e-7
 PREFIX_CHARS = range(4, 17)
 
 # Closed word classes of the grammar, by language.
@@ -173,12 +177,18 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _by_chance(one: int, zero: int, share: float) -> float:
+    """Probability that at least ``one`` of ``one + zero`` documents are toxic."""
+    n = one + zero
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)) for i in range(one, n + 1))
+
+
 def lexicon_of(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
     """Precise beginnings, of nested ones the longest that keeps nine tenths of the support."""
     odds = {}
     for prefix, (one, zero) in counts.items():
         rate1, rate0 = (one + 0.5) / (n_toxic + 1), (zero + 0.5) / (n_clean + 1)
-        if one >= SUPPORT and rate1 / (rate1 + rate0) >= PRECISION and zero <= 0.1 * one:
+        if one >= SUPPORT and zero <= 0.1 * one and rate1 / (rate1 + rate0) >= PRECISION and _by_chance(one, zero, n_toxic / (n_toxic + n_clean)) <= CHANCE:
             odds[prefix] = math.log(rate1 / rate0)
     kept: dict[str, float] = {}
     for prefix in sorted(odds, key=len):
@@ -211,9 +221,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not n.get(0) or not n.get(1):
         return Model({}, np.zeros(2 * len(MARKS)), -5.0)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, min(1.0, sample / n[1])).otherwise(min(1.0, sample / n[0]))
-    # About 2 x sample rows whatever the size of the labels, 4 x sample at most: small enough to broadcast.
-    chosen = usable.where(draw < share).withColumn("half", (F.floor(draw * float(1 << 30)) % 2).cast("int")).limit(4 * sample)
+    taken = {1: min(1.0, sample / n[1]), 0: min(1.0, CLEAN_RATIO * sample / n[0])}
+    share = F.when(F.col("toxic") == 1, taken[1]).otherwise(taken[0])
+    # A number of rows that does not follow the labels', with a limit at twice that: small enough to broadcast.
+    chosen = usable.where(draw < share).withColumn("half", (F.floor(draw * float(1 << 30)) % 2).cast("int")).limit(2 * (1 + CLEAN_RATIO) * sample)
+    first, second = ("half = 0", "half = 1") if n[1] * taken[1] >= FEW else ("true", "true")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "half", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         one, zero = [seen[1][k] for k in keys] + [size[1]], [seen[0][k] for k in keys] + [size[0]]
         yield pa.RecordBatch.from_arrays([pa.array([*keys, ""], pa.string()), pa.array(one, pa.int64()), pa.array(zero, pa.int64())], names=["prefix", "one", "zero"])
 
-    counted = rows.where("half = 0").select("toxic", "text").mapInArrow(count, "prefix string, one long, zero long")
+    counted = rows.where(first).select("toxic", "text").mapInArrow(count, "prefix string, one long, zero long")
     found = counted.groupBy("prefix").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).where((F.col("prefix") == "") | (F.col("one") >= SUPPORT) & (F.col("zero") <= 0.1 * F.col("one"))).collect()
     counts = {r["prefix"]: (r["one"], r["zero"]) for r in found}
     size = counts.pop("", (0, 0))
@@ -241,13 +253,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = [g.evidence(t.as_py()).tolist() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    got = rows.where("half = 1").select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>").collect()
+    got = rows.where(second).select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>").collect()
     if len({r["toxic"] for r in got}) < 2:
         return Model(lexicon.value, np.zeros(2 * len(MARKS)), -5.0)
     x, y = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], dtype=float)
-    # The sample takes as many rows of either label as it can get; the bias is put back to the labels' own proportions.
+    # The sample draws the labels at different rates; the bias is put back to their own proportions.
     w, b = fit_weights(x, y)
-    taken = {k: min(1.0, sample / n[k]) for k in (0, 1)}
     return Model(lexicon.value, w, b + math.log(taken[0] / taken[1]))
 
 
