@@ -388,3 +388,49 @@ def q_wf_summary(f: Feeds) -> DataFrame:
     rows = rule_rows(f).withColumns({"pnl": F.col("pnl_30"), "f": X.keep_below(F.col("score"), F.lit(0.0)), "fold": X.floor_div(F.col("t") - f.spec.windows[0][1], 10 * 86_400_000_000)})
     folds = M.evaluate_filter(rows.drop("score"), ["sym", "fold"], f.spec)
     return A.summarize(folds, ["sym"]).select("sym", *r("mean_score", "std_score", "min_score"), "n_folds", "all_ok")
+
+
+@query(O.TRADES)
+def q_trades(f: Feeds) -> DataFrame:
+    return f.trades.select("trade_id", "sym", "t", "side", F.col("s").cast("long").alias("s"), *r("price", "notional", "w"))
+
+
+@query(O.INVENTORY)
+def q_inventory(f: Feeds) -> DataFrame:
+    """Rows, first and last time and days of each feed and symbol."""
+    feeds = {"trades": f.trades.select("sym", "t"), "bbo": f.book.select("sym", "t"), "binance": f.binance.select("sym", F.col("raw_t").alias("t")), "bybit": f.bybit.select("sym", F.col("raw_t").alias("t"))}
+    out = None
+    for name, rows in feeds.items():
+        one = rows.withColumn("feed", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("feed", "sym").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), X.rounded((F.max("t") - F.min("t")) / 86_400_000_000.0).alias("days"))
+
+
+@query(O.EDGE)
+def q_edge(f: Feeds) -> DataFrame:
+    """Quintile edge and trend of the score, and whether the months keep its sign."""
+    rows = rule_rows(f)
+    kept = A.month_survival(rows, ["sym"], "score", "pnl_120", F.col("split") == "train")
+    return A.edge(rows, ["sym"], "score", "pnl_120").join(kept, "sym").select("sym", *r("edge", "trend"), "months", "survived")
+
+
+@query(O.RECENCY)
+def q_recency_weight(f: Feeds) -> DataFrame:
+    rows = ML.recency(f.trades.select("trade_id", "sym", "t", "w"), 10.0)
+    return rows.groupBy("sym", X.day(F.col("t")).alias("day")).agg(X.rounded(F.sum("w"), 2).alias("w"))
+
+
+@query(O.REPORT)
+def q_report(f: Feeds) -> DataFrame:
+    """Four ways to filter, side by side: everything, the score's sign, the best half by a training rule, and the fitted cut."""
+    rows = rule_rows(f).withColumns({"pnl": F.col("pnl_30"), "x": F.col("score")}).drop("score")
+    train = rows.where("split = 'train'")
+    rule = A.fit_keep_best(train, ["sym"], "x", "pnl", 0.5)
+    cut = F.broadcast(A.threshold_cv(train, ["sym"], "x", f.spec).select("sym", "thr"))
+    test = rows.where("split in ('val', 'test')")
+    ways = {"keep_all": test.withColumn("f", F.lit(0)), "sign": test.withColumn("f", X.keep_below(F.col("x"), F.lit(0.0))), "best_half": A.apply_keep_best(test, rule, ["sym"], "x"), "fitted": test.join(cut, "sym").withColumn("f", X.keep_below(F.col("x"), F.col("thr"))).drop("thr")}
+    out = None
+    for name, one in ways.items():
+        m = M.evaluate_filter(one, ["sym", "split"], f.spec).withColumn("method", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out.select("method", "sym", "split", *r("pnl_all", "pnl_kept", "score", "frac_w"), "n", "n_days")

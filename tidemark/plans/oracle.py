@@ -149,15 +149,22 @@ REGIME = _rule() + f", r2 as (select *, strftime(make_timestamp(t), '%Y-%m') as
 _COV = "sum(w * x * y) / sum(w) - (sum(w * x) / sum(w)) * (sum(w * y) / sum(w))"
 KEEP_BEST = _rule() + f", tr0 as (select sym, score as x, pnl_30 as y, w from rule where split = 'train'), d as (select sym, case when {_COV} >= 0 then 1 else -1 end as direction from tr0 where y is not null group by sym), c as (select tr0.sym, d.direction, quantile_cont(d.direction * x, 0.5) as cut from tr0 join d on tr0.sym = d.sym group by 1, 2), v as (select r.sym, t, w, pnl_30 as pnl, case when c.direction * score < c.cut then 1 else 0 end as f from rule r join c on r.sym = c.sym where split = 'val'), m as ({_metrics('sym', 'v')}) select m.sym, c.direction, {rd('c.cut')} as cut, {_round('pnl_all pnl_kept score')}, n from m join c on m.sym = c.sym"
 THRESHOLD_CURVE = _rule() + f", k as (select * from rule where pnl_30 is not null), q as (select sym, unnest(list_distinct(quantile_cont(score, [{', '.join(str(i / 50) for i in range(50))}]))) as thr from k group by sym), v as (select k.sym, q.thr, t, w, pnl_30 as pnl, case when score < thr then 1 else 0 end as f from k join q on k.sym = q.sym), m as ({_metrics('sym, thr', 'v')}) select sym, {_round('thr pnl_kept score frac_w')}, n from m"
-THRESHOLD_CV = _rule() + f""", k as (select sym, t, w, pnl_30 as pnl, score, row_number() over (partition by sym order by t, seq) - 1 as i, count(*) over (partition by sym) as n from rule where pnl_30 is not null),
+
+
+def _cv(where: str = "true") -> str:
+    """CTEs ending in ``best``: sym, thr, cv of the purged threshold search over the rows of the rule."""
+    return f"""k as (select sym, t, w, pnl_30 as pnl, score, row_number() over (partition by sym order by t, seq) - 1 as i, count(*) over (partition by sym) as n from rule where pnl_30 is not null and {where}),
  bl as (select *, {' + '.join(f'case when i >= floor(n * {j} / 5.0) then 1 else 0 end' for j in range(1, 5))} as blk from k),
  en as (select *, min(t) over (partition by sym, blk) as t0, max(t) over (partition by sym, blk) as t1 from bl),
  pu as (select * from en where (blk = 0 or t - t0 >= {300 * US}) and (blk = 4 or t1 - t >= {300 * US})),
  cu as (select sym, unnest(list_distinct(quantile_cont(score, [{', '.join(str(j * 0.99 / 59) for j in range(60))}]))) as thr from k group by sym),
  gr as (select pu.sym, cu.thr, blk, count(*) as nb, greatest(count(distinct t // {DAY}), 1) as days, sum(w) as sw, sum(w * pnl) as swp, sum(case when score >= thr then w end) as kw, sum(case when score >= thr then w * pnl end) as kwp, count(case when score >= thr then 1 end) as nk from pu join cu on pu.sym = cu.sym group by 1, 2, 3),
  sc as (select sym, thr, avg(kwp / kw - swp / sw) as cv, min(case when kw / days >= 500000 and nk / nb >= 0.05 and kw > 0 then 1 else 0 end) as ok from gr group by 1, 2),
- rk as (select sym, thr, case when ok = 1 then cv else '-infinity'::double end as cv, row_number() over (partition by sym order by case when ok = 1 then cv else '-infinity'::double end desc, thr) as rn from sc)
- select sym, {rd('thr')} as thr, {rd('cv')} as cv from rk where rn = 1"""
+ rk as (select sym, thr, case when ok = 1 then cv else '-infinity'::double end as cv, row_number() over (partition by sym order by case when ok = 1 then cv else '-infinity'::double end desc, thr) as rn from sc),
+ best as (select sym, thr, cv from rk where rn = 1)"""
+
+
+THRESHOLD_CV = _rule() + ", " + _cv() + f" select sym, {rd('thr')} as thr, {rd('cv')} as cv from best"
 _BARS = ", bars as (select sym, t // 60000000 as minute, count(*) as n, sum(amount) as amount, sum(notional) as notional, count(case when side = 'buy' then 1 end) as buy_n, coalesce(sum(case when side = 'buy' then notional end), 0) as buy_notional, arg_min(price, t) as px_first, arg_max(price, t) as px_last, min(price) as px_min, max(price) as px_max from trades group by 1, 2)"
 MINUTE_TRADES = FEEDS + _BARS + f" select sym, minute, n, buy_n, {_round('amount notional buy_notional px_first px_last px_min px_max')} from bars"
 MINUTE_BBO = FEEDS + f", b as (select sym, t // 60000000 as minute, count(*) as n, count(case when bid_price >= ask_price then 1 end) as crossed, count(case when bid_price = ask_price then 1 end) as locked, arg_min(mid, t) as mid_first, arg_max(mid, t) as mid_last, min(mid) as mid_min, max(mid) as mid_max, avg(spread) as spread, avg(spread / mid) as rel_spread, avg(bid_amount) as bid_amount, avg(ask_amount) as ask_amount from bbo group by 1, 2) select sym, minute, n, crossed, locked, {_round('mid_first mid_last mid_min mid_max spread rel_spread bid_amount ask_amount', 6)} from b"
@@ -220,3 +227,25 @@ PHASE_TAGS = _pnl((120,)) + _CASCADES + f", a as (select p.*, c.begin_t from pnl
 WCORR = _rule() + f", k as (select sym, split, score as x, pnl_30 as y, w from rule where pnl_30 is not null), z as (select sym, split, {_COV} as c, sqrt(greatest(sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) * (sum(w * x) / sum(w)), 0)) as sx, sqrt(greatest(sum(w * y * y) / sum(w) - (sum(w * y) / sum(w)) * (sum(w * y) / sum(w)), 0)) as sy from k group by 1, 2) select sym, split, {rd('c / (sx * sy + 1e-12)', 6)} as corr, cast(case when c >= 0 then 1 else -1 end as bigint) as direction from z"
 MISSINGNESS = _pnl() + " ".join(f"{'union all' if i else ''} select sym, 'pnl_{t}' as feature, {rd(f'avg(case when pnl_{t} is null then 1.0::double else 0.0::double end)', 6)} as missing from pnl group by sym" for i, t in enumerate((30, 120, 300)))
 WF_SUMMARY = _rule() + f", v as (select sym, (t - epoch_us(timestamp '2024-01-01')) // {10 * DAY} as fold, t, w, pnl_30 as pnl, case when score < 0 then 1 else 0 end as f from rule), m as ({_metrics('sym, fold', 'v')}) select sym, {rd('avg(score)')} as mean_score, {rd('stddev_samp(score)')} as std_score, {rd('min(score)')} as min_score, count(*) as n_folds, bool_and(constraint_ok) as all_ok from m group by sym"
+TRADES = FEEDS + f" select trade_id, sym, t, side, cast(s as bigint) as s, {_round('price notional w')} from trades"
+INVENTORY = FEEDS + f", a as (select 'trades' as feed, sym, t from trades union all select 'bbo', sym, t from bbo union all select venue, sym, raw_t from liq) select feed, sym, count(*) as n, min(t) as first_t, max(t) as last_t, {rd(f'(max(t) - min(t)) / {DAY}.0::double')} as days from a group by 1, 2"
+
+
+def _edges(name: str, source: str, by: str) -> str:
+    on = " and ".join(f"r.{c} = q.{c}" for c in by.split(", "))
+    return f"{name}b as (select r.*, len(list_filter(q.breaks, lambda z: z < r.score)) as bucket from {source} r join {_breaks('score', 5, by, source)} q on {on}), {name}m as (select {by}, bucket, sum(w * pnl_120) / sum(case when pnl_120 is not null then w end) as wp from {name}b group by all), {name} as (select {by}, max(case when bucket = 4 then wp end) - max(case when bucket = 0 then wp end) as edge, case when count(wp) = 5 then corr(bucket, wp) end as trend from {name}m group by {by})"
+
+
+EDGE = _rule() + ", " + _edges("ea", "rule", "sym") + ", tr1 as (select * from rule where split = 'train'), " + _edges("et", "tr1", "sym") + ", mo as (select *, strftime(make_timestamp(t), '%Y-%m') as month from rule), " + _edges("em", "mo", "sym, month") + f" select ea.sym, {rd('any_value(ea.edge)')} as edge, {rd('any_value(ea.trend)')} as trend, count(*) as months, count(case when sign(em.edge) = sign(et.edge) then 1 end) as survived from ea join et on ea.sym = et.sym join em on em.sym = ea.sym group by ea.sym"
+RECENCY = FEEDS + f" select sym, t // {DAY} as day, {rd(f'sum(w * exp(-(((select max(t) from trades) - t) / {DAY}.0::double) / 10.0::double))', 2)} as w from trades group by 1, 2"
+
+
+def _report() -> str:
+    ways = {"keep_all": "0", "sign": "case when r.score < 0 then 1 else 0 end", "best_half": "case when c.direction * r.score < c.cut then 1 else 0 end", "fitted": "case when r.score < b.thr then 1 else 0 end"}
+    union = " union all ".join(f"select '{n}' as method, r.sym, r.split, r.t, r.w, r.pnl_30 as pnl, {f} as f from rule r join c on r.sym = c.sym join best b on r.sym = b.sym where r.split in ('val', 'test')" for n, f in ways.items())
+    half = f"tr0 as (select sym, score as x, pnl_30 as y, w from rule where split = 'train'), dr as (select sym, case when {_COV} >= 0 then 1 else -1 end as direction from tr0 where y is not null group by sym), c as (select tr0.sym, dr.direction, quantile_cont(dr.direction * x, 0.5) as cut from tr0 join dr on tr0.sym = dr.sym group by 1, 2)"
+    cv = _cv("split = 'train'")
+    return _rule() + ", " + half + ", " + cv + f", v as ({union}), m as ({_metrics('method, sym, split', 'v')}) select method, sym, split, {_round('pnl_all pnl_kept score frac_w')}, n, n_days from m"
+
+
+REPORT = _report()
