@@ -90,7 +90,7 @@ def threshold_cv(rows: DataFrame, by: list[str], score: str, spec, n_splits: int
     from tidemark.operators.asof import indexed
 
     embargo = spec.embargo_us if embargo_us is None else embargo_us
-    known = indexed(rows.where(X.finite(F.col(score)) & X.finite(F.col("pnl"))).select(*by, "t", "seq", "w", "pnl", F.col(score).alias("score")), by)
+    known = indexed(rows.where(X.finite(F.col(score)) & X.finite(F.col("pnl"))).select(*by, "t", "seq", "w", "pnl", F.col(score).alias("score")), by).persist()  # read by five branches below
     points = F.array(*[F.lit(k * 0.99 / (n_candidates - 1)) for k in range(n_candidates)])
     fixed = known.groupBy(*by).agg(F.count("*").alias("n_all"), F.array_distinct(F.percentile("score", points)).alias("cuts"))
     k = lambda i: F.floor(F.col("n_all") * i / n_splits)

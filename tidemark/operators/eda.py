@@ -153,7 +153,7 @@ def _around(feeds: Feeds, all_: DataFrame, points: list[tuple[str, float, int, i
     from tidemark.operators.grid import BLOCK, flow_grid
 
     spec = feeds.spec
-    rows = all_.withColumn("id", F.concat_ws("/", "sym", F.col("cascade").cast("string"))).select("id", "sym", "cascade", "sgn", "m0", "begin_t")
+    rows = all_.withColumn("id", F.concat_ws("/", "sym", F.col("cascade").cast("string"))).select("id", "sym", "cascade", "sgn", "m0", "begin_t").persist()  # one row per cascade, read by every branch
     at = F.array(*[F.struct(F.lit(n).alias("point"), F.lit(spec.us(c)).cast("long").alias("d"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, c, lo, hi in points])
     tall = rows.withColumn("_p", F.explode(at)).select("id", "sym", "sgn", "m0", "begin_t", "_p.point", "_p.lo", "_p.hi", (F.col("begin_t") + F.col("_p.d")).alias("qt"))
     found = asof(tall, feeds.book, ["mid", "spread", "bid_amount", "ask_amount"], ["sym"], "qt", spec.bucket_us)
@@ -162,7 +162,7 @@ def _around(feeds: Feeds, all_: DataFrame, points: list[tuple[str, float, int, i
     depth = F.col("bid_amount") + F.col("ask_amount")
     obi = F.col("sgn") * (F.col("bid_amount") - F.col("ask_amount")) / F.greatest(depth, F.lit(1e-9))
     book = found.join(last, "sym").groupBy("sym", "point").agg(F.avg(move).alias("move"), F.avg(F.col("spread") / F.col("mid") * 1e4).alias("spread_bps"), F.avg(depth * F.col("mid")).alias("depth_usd"), F.avg(obi).alias("obi_signed"), F.count("*").alias("n"))
-    seconds = flow_grid(feeds).withColumns({"t": F.col("sec"), "seq": F.lit(0)})
+    seconds = flow_grid(feeds).persist().withColumns({"t": F.col("sec"), "seq": F.lit(0)})
     values = {"cnt": F.col("cnt").cast("long"), "vol": F.col("signed_vol")}
     ends = tall.withColumn("sec", X.second(F.col("begin_t"), spec)).withColumn("end", F.explode(F.array("lo", "hi"))).select(F.concat_ws("|", "id", "point", F.col("end").cast("string")).alias("key"), "id", "sym", "point", "sgn", "lo", "hi", "end", (F.col("sec") + F.col("end") - 1).alias("t"))
     totals = windowed(ends, "key", seconds, values, {"all": 1 << 40}, ["sym"], BLOCK)

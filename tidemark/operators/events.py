@@ -20,7 +20,7 @@ def run_length(feed: DataFrame, by: list[str]) -> DataFrame:
     rows = indexed(feed, by)
     dealt = rolling_blocks(rows, "idx", BLOCK, 1)
     before = F.lag("sgn").over(Window.partitionBy(*by, "blk").orderBy("idx"))
-    marked = dealt.withColumn("_p", before).where("not ghost").drop("blk", "ghost")
+    marked = dealt.withColumn("_p", before).where("not ghost").drop("blk", "ghost").persist()  # queries and states of the lookup
     changes = marked.where(F.col("_p").isNull() | (F.col("_p") != F.col("sgn"))).select(*by, F.col("idx").alias("t"), F.lit(0).alias("seq"), F.col("idx").alias("begin"))
     found = asof(marked.drop("_p"), changes, ["begin"], by, "idx", BLOCK)
     return found.withColumn("runlen", ((F.col("idx") - F.col("begin") + 1) * F.col("sgn")).cast("long")).drop("begin", "state_t")
@@ -52,7 +52,7 @@ def last_state(feeds: Feeds, venue: str) -> DataFrame:
     """``trade_id`` with recency, streak, z-score and price of the venue's last liquidation at or before each trade."""
     spec = feeds.spec
     rows = run_length(feeds.liquidations(venue), ["sym"]).drop("idx")
-    rows = zscore(rows, "notional", ["sym"]).select("sym", "t", "seq", "runlen", "z", F.col("price").alias("liq_price"))
+    rows = zscore(rows, "notional", ["sym"]).select("sym", "t", "seq", "runlen", "z", F.col("price").alias("liq_price")).persist()  # a lookup reads its states twice
     found = asof(feeds.trades.select("trade_id", "sym", F.col("t").alias("qt")), rows, ["runlen", "z", "liq_price"], ["sym"], "qt", spec.bucket_us)
     return found.select("trade_id", ((F.col("qt") - F.col("state_t")) / float(spec.us_per_s)).alias("since"), "runlen", "z", "liq_price")
 
@@ -80,7 +80,7 @@ def tagged(feeds: Feeds) -> DataFrame:
     rows = indexed(both, ["sym"], spec.bucket_us)
     dealt = rolling_blocks(rows, "idx", BLOCK, 1)
     gap = F.col("t") - F.lag("t").over(Window.partitionBy("sym", "blk").orderBy("idx"))
-    marked = dealt.withColumn("_gap", gap).where("not ghost").drop("blk", "ghost")
+    marked = dealt.withColumn("_gap", gap).where("not ghost").drop("blk", "ghost").persist()  # queries and states of the lookup
     starts = marked.where(F.col("_gap").isNull() | (F.col("_gap") > spec.us(spec.cascade_gap_s))).select("sym", F.col("idx").alias("at"), F.col("t").alias("cascade"))
     found = asof(marked.drop("_gap"), starts.select("sym", F.col("at").alias("t"), F.lit(0).alias("seq"), "cascade"), ["cascade"], ["sym"], "idx", BLOCK)
     return found.drop("state_t", "idx")

@@ -38,7 +38,7 @@ def mid_changes(feeds: Feeds) -> DataFrame:
 def book_dynamics(feeds: Feeds) -> DataFrame:
     """``trade_id, book_age_s, book_chg_rate_30s``: time since the mid last changed, and changes a second over 30 s."""
     spec = feeds.spec
-    changes = mid_changes(feeds)
+    changes = mid_changes(feeds).persist()  # states of two lookups
     age = E.seconds_since(feeds.trades, "trade_id", changes, spec).withColumnRenamed("since", "book_age_s")
     rate = windowed(feeds.trades, "trade_id", changes, {"chg": F.lit(1).cast("long")}, {"30": spec.us(30)}, ["sym"], spec.bucket_us)
     return age.join(rate, "trade_id").select("trade_id", "book_age_s", (F.col("chg_30") / 30.0).alias("book_chg_rate_30s"))
@@ -72,7 +72,7 @@ def features(feeds: Feeds, strict: bool = False) -> DataFrame:
     rows = rows.withColumns({"obi": obi, "obi_signed": obi * s, "micro_signed_bps": s * X.microprice_bps(F.col("spread"), mid, obi), "px_vs_mid_bps": X.distance_bps(s, F.col("price"), mid)})
     past = mids_at(feeds.trades, "trade_id", feeds.book, spec, {f"_m{w}": -spec.us(w) for w in spec.momentum_s})
     rows = rows.join(past, "trade_id").withColumns({f"ret_{w}s_signed": X.return_bps(s, mid, F.col(f"_m{w}")) for w in spec.momentum_s})
-    grid = G.rolling(G.mid_grid(feeds), spec.vol_s)
+    grid = G.rolling(G.mid_grid(feeds), spec.vol_s).persist()  # its last second and its rows
     names = {f"rv_{w}": f"rv_{w}s" for w in spec.vol_s} | {f"ampl_{w}": f"ampl_{w}s" for w in spec.vol_s} | {"rskew_30": "rskew_30", "rskew_300": "rskew_300", "varratio_300": "varratio_300"}
     rows = rows.join(G.at_second(feeds.trades, "trade_id", grid, list(names), spec, strict).withColumnsRenamed(names), "trade_id")
     rows = rows.withColumns({"vol_ts_ratio": X.ratio(F.col("rv_5s"), F.col("rv_300s")), "vol_ts_ratio_mid": X.ratio(F.col("rv_30s"), F.col("rv_300s"))})

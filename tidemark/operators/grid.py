@@ -90,7 +90,7 @@ def flow_windows(feeds: Feeds, windows: tuple[int, ...] | None = None) -> DataFr
     """``trade_id`` with net, total and count of trades over the ``w`` whole seconds before its own, NULL where the grid has not all of them."""
     spec = feeds.spec
     windows = windows or spec.flow_s
-    grid = flow_grid(feeds)
+    grid = flow_grid(feeds).persist()  # read for its ends and by running totals
     ends = grid.groupBy("sym").agg(F.min("sec").alias("s0"), F.max("sec").alias("s1"))
     seconds = grid.withColumns({"t": F.col("sec"), "seq": F.lit(0)})
     trades = feeds.trades.select("trade_id", "sym", X.second(F.col("t"), spec).alias("sec"))

@@ -46,7 +46,7 @@ def rule_rows(feeds: Feeds) -> DataFrame:
     """Trades with markouts, split, and the deterministic score: aligned liquidations of the delayed venue over the long window."""
     net = E.liquidation_windows(feeds, "bybit", (300,)).select("trade_id", F.col("net_300").alias("net"))
     rows = M.markouts(feeds).join(net, "trade_id").withColumn("score", F.col("s") * F.col("net"))
-    return rows.withColumn("split", X.split_label(F.col("t"), feeds.spec))
+    return rows.withColumn("split", X.split_label(F.col("t"), feeds.spec)).persist()  # rules read their rows several times
 
 
 def _markout(tau: int):
