@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
+from .tokens import forget
 
 CHUNK, PASSAGE = 16, 4
 MAX_DF = 0.02
@@ -263,6 +264,7 @@ def fit(encoded: DataFrame, items: Items) -> Space:
 
 def _encode(docs: DataFrame, items: Items) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([items.encode(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["doc_id", "codes"])
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_of
 from .components import components
 from .hashing import mix, prefixes, ranges
+from .tokens import forget
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
@@ -129,6 +130,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("sig", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             cols: list[list] = [[], [], []]
             for text in batch.column(3):
@@ -172,6 +174,7 @@ def survivors(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     needed = least_matches(threshold, tolerance)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         cols: list[list] = [[], []]
         for (_, i, j), group in _grouped(batches, 3):
             ids, block = [r[4] for r in group], np.array([r[3] for r in group])

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .tokens import forget
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 128, 64
@@ -385,6 +386,7 @@ def find(docs: DataFrame, net: Network | None = None) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         finder = Finder(model.value)
         for batch in batches:
             cols: list[list] = [[] for _ in out]
@@ -411,10 +413,11 @@ def mask(text: str, spans: list) -> str:
 
 def redact(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """The documents, all columns kept, with personal data in ``text`` replaced by its kind; null texts stay null."""
-    model = docs.sparkSession.sparkContext.broadcast(net or train(docs))
+    model = docs.sparkSession.sparkContext.broadcast(net or train(docs))  # which bounds the batches too
     at = docs.columns.index("text")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         finder = Finder(model.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, scratch_path, text_of
 from .tokens import encoder
 
 MAGIC = b"TMSST01\n"
@@ -258,7 +258,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
             row = {"path": [f"{root}/{name}"], "has_null": [has_null], "first_id": [first], "last_id": [last], "n_docs": [n_docs], "n_tokens": [n_tokens]}
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("path", pa.string()), ("has_null", pa.bool_()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     spread = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("h"))
     manifest = materialize(spread.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc("h")).select("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
     # One row per shard: a window over all of it is small. Shards of one repeated identifier are ordered by path.

@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Entries kept in each memo, and the longest chunk that is kept.
-MEMO_CHUNKS, MEMO_WORDS = 600_000, 600_000
+MEMO_CHUNKS, MEMO_WORDS = 350_000, 350_000
 MEMO_CHARS = 40
 #: U+001C..U+001F are white space for ``str.split`` only.
 _DISAGREE = re.compile("[\x1c-\x1f]")
@@ -113,3 +113,8 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Drops the memos: Python workers are reused, and an operator that does not encode has no use for them."""
+    _ENCODERS.clear()

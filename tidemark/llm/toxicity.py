@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, text_of
+from .tokens import forget
 
 SAMPLE = 4000
 #: Clean documents are drawn this many times as often, and with fewer toxic ones than this both steps learn from all of the sample.
@@ -229,6 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "half", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         size = [0, 0]
         for batch in batches:
@@ -268,6 +270,7 @@ def _scored(docs: DataFrame, labels: DataFrame, sample: int, model: Model | None
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (fold(docs["doc_id"]) == 0).alias("held_out"), text_of(docs).alias("text"), *[docs[f.name].alias(f"kept_{i}") for i, f in enumerate(fields)])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m: Model = fitted.value
         zero = m.score("")
         for batch in batches:
