@@ -57,7 +57,7 @@ def text_of(docs: DataFrame) -> Column:
     """The text with null as ''. Texts may be long, so the session's Arrow batches are bounded where they are larger."""
     conf = docs.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = conf.get(key, "0")
+        now = conf.get(key).rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
