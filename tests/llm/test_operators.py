@@ -356,6 +356,31 @@ def test_line_dedup_keeps_the_earliest(spark, odd, none):
     assert substring_dedup.dedup(odd).count() == odd.count() and substring_dedup.dedup(none).count() == 0
 
 
+def test_line_dedup_removes_torn_passages_to_the_word(spark):
+    rng = random.Random(23)
+    w = words(rng, 400, 9000).split()
+    short = " ".join(". ".join(" ".join(w[i : i + 4]) for i in range(0, 60, 4)).split())  # no sentence of eight words, inside longer lines
+    torn, under, own = " ".join(w[60:130]), " ".join(w[130:179]), " ".join(w[180:240])
+    rows = [(i, f"{words(rng, 9)} {short} {words(rng, 9)}. {words(rng, 9)} {torn} {words(rng, 9)}. {words(rng, 9)} {under} {words(rng, 9)}", "en") for i in (1, 2)]
+    rows += [(3, f"{words(rng, 9)} {own} {words(rng, 9)} {own.upper()} {words(rng, 9)}", "en"), (4, "same " * 80, "en")]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(make(spark, rows)).collect()}
+    assert got[1]["n_removed"] == 0
+    at = [rows[1][1].index(p) for p in (short, torn)]
+    assert got[2]["spans"] == ",".join(f"{a}:{a + len(p)}" for a, p in zip(at, (short, torn), strict=True))
+    a = rows[2][1].index(own.upper())
+    assert got[3]["spans"] == f"{a}:{a + len(own)}"
+    assert len(got[4]["text"].split()) == 50
+
+
+def test_line_dedup_stretches_cover_every_run():
+    text = words(random.Random(3), 4000, 9000)
+    w, whole = text.split(), list(substring_dedup.stretches(text))
+    assert sum(len(u[1:].split()) - 49 for u, *_ in whole) == len(w) - 49
+    assert all(u[1:] == text[a:b] for u, a, b, _ in whole)
+    part = {h for *_, h in substring_dedup.stretches(" ".join(w[700:750]))}
+    assert len(part) == 1 and part <= {h for *_, h in whole}
+
+
 # Language
 
 

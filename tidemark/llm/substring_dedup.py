@@ -1,9 +1,15 @@
-"""Repeated passages, by hashing lines and the sentences in them.
+"""Repeated passages, by hashing lines, the sentences in them, and runs of words across both.
 
-Units are lines and, within lines, sentences; a unit is normalised (lower case, single spaces) and hashed with 128 bits. Of all
+Units are lines, within lines sentences, and every ``passage_words`` words in a row, wherever these begin; a unit is
+normalised (lower case, single spaces) and hashed with 128 bits. Of all
 units with one digest, over all documents, the earliest ranked (identifier, hash of text, offset) stays and the others go.
 Lines count from ``line_words`` words on and sentences from ``sentence_words`` on, so that short phrases stay. Removed ranges are given
-in code points of the original text; a removed line takes its line feed along.
+in code points of the original text; a removed line takes its line feed along. What a document repeats of itself goes only beyond
+the end of the earliest.
+
+Runs of words are many, so neighbours go as one where they can: the least hash of ``GRAM`` words in a run marks it (winnowing),
+equal runs have equal marks, and the runs in a row with one mark make a stretch, which is one unit. Only where one mark
+has different stretches, as at the ends of a torn passage, the first of each is hashed run by run as well.
 
 A digest may belong to any share of all units, so each Arrow batch first resolves its own: of a batch's units with
 one digest only the earliest goes on, and the others are known to be repeats. A frequent line thus reaches its group once
@@ -18,16 +24,26 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
 
 LINE_WORDS = 3
 SENTENCE_WORDS = 8
+PASSAGE_WORDS = 50
+#: Words of a mark, and the runs whose marks are found at once.
+GRAM = 8
+_PIECE = 1 << 16
+#: Units of one Arrow batch that are resolved together.
+_UNITS = 100_000
+#: By code point, whether it parts words; the last entry stands for all beyond.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 
 
@@ -46,6 +62,56 @@ def units(text: str, line_words: int = LINE_WORDS, sentence_words: int = SENTENC
         at += len(line) + 1
 
 
+def _edges(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words."""
+    space = _SPACE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"), len(_SPACE) - 1)]
+    turns = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    return turns[::2], turns[1::2]
+
+
+def _least(words: list[str], passage_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By pieces: the first run's place, each run's place of its least gram, and that gram's hash."""
+    import xxhash
+
+    gram = min(GRAM, passage_words)
+    for at in range(0, len(words) - passage_words + 1, _PIECE):
+        part = words[at : at + _PIECE + passage_words - 1]
+        one = np.fromiter(map(xxhash.xxh3_64_intdigest, part), dtype=np.uint64, count=len(part))
+        n = len(part) - gram + 1
+        h = np.zeros(n, dtype=np.uint64)
+        for i in range(gram):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + one[i : i + n]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        least = np.lib.stride_tricks.sliding_window_view(h, passage_words - gram + 1).argmin(1)
+        least += np.arange(len(least))
+        yield at, at + least, h[least].view(np.int64)
+
+
+def stretches(text: str, passage_words: int = PASSAGE_WORDS) -> Iterator[tuple[str, int, int, int]]:
+    """(normalised unit with its kind, start, end, hash of the mark) of the stretches of runs with one mark."""
+    words = text.lower().split()
+    if len(words) < passage_words:
+        return
+    starts, ends = _edges(text)
+    for at, places, hashes in _least(words, passage_words):
+        new = np.flatnonzero(np.diff(places, prepend=-1))
+        first, last = at + new, at + np.append(new[1:], len(places)) + passage_words - 1
+        for i, j, a, b, h in zip(first.tolist(), last.tolist(), starts[first].tolist(), ends[last - 1].tolist(), hashes[new].tolist(), strict=True):
+            yield "r" + " ".join(words[i:j]), a, b, h
+
+
+def passages(text: str, torn: list, passage_words: int = PASSAGE_WORDS) -> Iterator[tuple[str, int, int]]:
+    """(normalised unit with its kind, start, end) of every run of ``passage_words`` words in the ranges ``torn``, each once."""
+    last = -1
+    for a, b in sorted((t["start"], t["end"]) for t in torn):
+        words = text[a:b].lower().split()
+        starts, ends = ((a + e).tolist() for e in _edges(text[a:b]))
+        for i in range(len(words) - passage_words + 1):
+            if starts[i] > last:
+                last = starts[i]
+                yield "p" + " ".join(words[i : i + passage_words]), last, ends[i + passage_words - 1]
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -56,11 +122,11 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """``doc_id, n_chars, n_removed, n_spans, spans, text``: each document without its repeated units."""
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    out = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("repeat", pa.bool_()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    out = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("alone", pa.bool_()), ("torn", pa.bool_()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -68,6 +134,7 @@ def dedup(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = S
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             seen: dict[bytes, tuple] = {}
+            marks: dict[int, int] = {}
             cols: list[list] = [[] for _ in out]
             last = None
             for i in sorted(range(len(ids)), key=lambda j: (ids[j] is not None, ids[j] or 0, keys[j])):
@@ -75,29 +142,60 @@ def dedup(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = S
                 last = (ids[i], keys[i])
                 if same:
                     continue
-                for unit, start, end in units(batch.column(2)[i].as_py(), line_words, sentence_words):
+                text = batch.column(2)[i].as_py()
+                found = passages(text, batch.column(3)[i].as_py(), passage_words) if batch.num_columns > 3 else chain(units(text, line_words, sentence_words), stretches(text, passage_words))
+                for unit, start, end, *mark in found:
                     digest = xxhash.xxh3_128_digest(unit)
-                    repeat = digest in seen
-                    if not repeat:
-                        seen[digest] = ()
+                    first = seen.setdefault(digest, (i, start, end))
+                    repeat = first != (i, start, end)
+                    if repeat and first[0] == i:  # the document's own: the earliest stays whole
+                        start = max(start, first[2])
                     h, g = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-                    # A known repeat needs no group; it is spread by its place instead.
-                    for c, v in zip(cols, (h ^ hash((keys[i], start)) if repeat else h, g, repeat, ids[i], keys[i], start, end), strict=True):
+                    torn = False
+                    if mark:
+                        h = mark[0]
+                        if not repeat and (torn := (row := marks.setdefault(h, len(cols[0]))) != len(cols[0])):
+                            cols[3][row] = True
+                    # A known repeat, or a second stretch of a mark, needs no group; it is spread by its place instead.
+                    alone = repeat or torn
+                    for c, v in zip(cols, (h ^ hash((keys[i], start)) if alone else h, g, alone, torn, ids[i], keys[i], start, end), strict=True):
                         c.append(v)
+                    if len(cols[0]) >= _UNITS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+                        seen, marks, cols = {}, {}, [[] for _ in out]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    found = rows.mapInArrow(digests, "h long, g long, repeat boolean, doc_id long, key long, start long, end long")
-    group = Window.partitionBy("h", "g", "repeat")
-    first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "key", "start")).over(group)
-    later = found.withColumn("first", first).where(F.col("repeat") | (F.struct(F.col("doc_id").isNotNull(), "doc_id", "key", "start") > F.col("first")))
-    gone = later.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))  # a document's own ranges
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["key"] == gone["key"]), "left").select(rows["doc_id"], "text", "gone")
+    place = [F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "start"]
+
+    def grouped(found: DataFrame) -> DataFrame:
+        """With the first of each digest, and whether its mark has other stretches."""
+        mark, digest = Window.partitionBy("h", "alone"), Window.partitionBy("h", "alone", "g")
+        torn = F.max("torn").over(mark) | (F.min("g").over(mark) < F.max("g").over(mark))
+        return found.withColumn("torn", torn).withColumn("first", F.min(F.struct(*place, "end")).over(digest))
+
+    after = F.struct(*place) > F.struct(*[f"first.{c}" for c in ("known", "doc_id", "key", "start")])
+
+    def later(found: DataFrame) -> DataFrame:
+        own = ~F.col("alone") & F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))
+        start = F.when(own, F.greatest("start", "first.end")).otherwise(F.col("start"))
+        return found.where(F.when(F.col("alone"), ~F.col("torn")).otherwise(after)).select("doc_id", "key", start.alias("start"), "end").where("start < end")
+
+    def of(other: DataFrame) -> Column:
+        return rows["doc_id"].eqNullSafe(other["doc_id"]) & (rows["key"] == other["key"])
+
+    ranges = F.collect_list(F.struct("start", "end"))  # a document's own
+    schema = "h long, g long, alone boolean, torn boolean, doc_id long, key long, start long, end long"
+    whole = grouped(rows.mapInArrow(digests, schema))
+    torn = whole.where(F.when(F.col("alone"), F.col("torn")).otherwise(F.col("torn") & ~after)).groupBy("doc_id", "key").agg(ranges.alias("torn"))
+    runs = grouped(rows.join(torn, of(torn)).select(rows["doc_id"], rows["key"], "text", torn["torn"]).mapInArrow(digests, schema))
+    gone = later(whole).unionByName(later(runs)).groupBy("doc_id", "key").agg(ranges.alias("gone"))
+    joined = rows.join(gone, of(gone), "left").select(rows["doc_id"], "text", F.col("gone.start").alias("starts"), F.col("gone.end").alias("ends"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             result = []
-            for doc_id, text, gone in zip(frame["doc_id"].astype("Int64"), frame["text"], frame["gone"], strict=True):
-                spans = merge([(int(s["start"]), int(s["end"])) for s in gone]) if gone is not None else []
+            for doc_id, text, starts, ends in zip(frame["doc_id"].astype("Int64"), frame["text"], frame["starts"], frame["ends"], strict=True):
+                spans = merge([(int(a), int(b)) for a, b in zip(starts, ends, strict=True)]) if starts is not None else []
                 at, left = 0, []
                 for a, b in spans:
                     left.append(text[at:a])
