@@ -1,5 +1,6 @@
 """Hand-computed cases of the event-feed operators."""
 
+import inspect
 import math
 
 import pytest
@@ -11,8 +12,10 @@ from tidemark.operators import events as E
 from tidemark.operators import features as P
 from tidemark.operators import grid as G
 from tidemark.operators import markout as M
+from tidemark.operators import ml as ML
 from tidemark.operators import walkforward as W
 from tidemark.operators.asof import asof_mid, windowed
+from tidemark.plans import catalogue
 from tidemark.sources.feeds import Catalog, Feeds
 from tidemark.spec import DAY_US, Spec, utc_us
 
@@ -199,3 +202,29 @@ def test_panel_has_73_features(spark):
     assert [x["obi"] for x in r] == pytest.approx([1 / 3, 1 / 3]) and [x["obi_signed"] for x in r] == pytest.approx([1 / 3, -1 / 3])
     assert [x["xexch_liqpress_30s"] for x in r] == [0, 0]
     assert all(x["tfi_300s"] is None for x in r)
+
+
+def test_boosting_stops_as_the_reference_does():
+    assert ML.stop_round([1.0 - 0.01 * i for i in range(50)]) is None
+    assert ML.stop_round([3.0, 2.0, 1.0] + [1.5] * 30) == 13  # the best round, then ten without a gain
+    assert ML.stop_round([3.0, 2.0, 1.0] + [1.5] * 9 + [0.9] + [1.0] * 30) == 23
+
+
+def test_boosting_fits_until_the_held_out_error_stops(spark):
+    rows = spark.range(4000).select((F.col("id") / 4000).alias("a"), F.pmod(F.xxhash64("id"), F.lit(7)).cast("double").alias("b"), F.lit(1.0).alias("w")).withColumn("y", F.when(F.col("a") > 0.5, 4.0).otherwise(-4.0))
+    model = ML.fit(rows, ["a", "b"], "y", iterations=30, depth=1)
+    assert model.stages[0].getNumTrees <= 30
+    assert inspect.signature(ML.fit).parameters["iterations"].default == 400
+    x = ML.permutation_importance(model, rows.withColumn("trade_id", F.monotonically_increasing_id()), "y").collect()
+    assert [r["feature"] for r in x] == ["a", "b"] and x[0]["importance"] > 1 and abs(x[1]["importance"]) < 0.01
+
+
+def test_model_queries_take_all_features_rounds_and_repeats(spark, monkeypatch):
+    seen = {}
+    panel = spark.createDataFrame([(1, "x", "train", 0.5, 1.0, 2.0)], "trade_id long, sym string, split string, pnl_30 double, obi double, rskew_30 double")
+    monkeypatch.setattr(P, "panel", lambda f: panel)
+    monkeypatch.setattr(ML, "fit", lambda rows, features, label, kind, **options: seen.update(features=features, options=options))
+    monkeypatch.setattr(ML, "permutation_importance", lambda model, rows, label, repeats=3: seen.update(repeats=repeats))
+    monkeypatch.setattr(catalogue, "from_events", lambda *a: None)
+    catalogue.QUERIES["q_importance"](spark, "")
+    assert seen == {"features": ["obi", "rskew_30"], "options": {}, "repeats": 3}

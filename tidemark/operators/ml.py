@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -20,6 +21,8 @@ from tidemark.spec import DAY_US
 
 #: Stands for a missing value: trees split it off, as they accept no NULL. Far below any feature.
 MISSING = -1e12
+#: Early stopping: one row of so many is held out, and rounds end when so many in a row gained less than the least gain.
+HELD_OUT, PATIENCE, LEAST_GAIN = 10, 10, 1e-7
 
 
 @dataclass
@@ -42,24 +45,55 @@ def recency(rows: DataFrame, tau_days: float) -> DataFrame:
     return rows.crossJoin(newest).withColumn("w", X.recency_weight(F.col("w"), (F.col("_newest") - F.col("t")) / DAY_US, tau_days)).drop("_newest")
 
 
-def fit(rows: DataFrame, features: list[str], label: str, kind: str = "mse", iterations: int = 50, depth: int = 5, min_leaf: int = 200, alpha: float = 0.5, tau_days: float = 30.0, step: float = 0.05) -> Model:
-    """Fits on rows with a finite label, weighted by ``w``: ``mse``, ``mae``, ``recency``, ``quantile`` or ``classifier``."""
+def stop_round(errors: list[float], patience: int = PATIENCE) -> int | None:
+    """The first round after which the last ``patience`` errors are all no better than the one before them."""
+    for n in range(patience + 1, len(errors) + 1):
+        if min(errors[n - patience : n]) >= errors[n - patience - 1] - LEAST_GAIN:
+            return n
+    return None
+
+
+def fit(rows: DataFrame, features: list[str], label: str, kind: str = "mse", iterations: int = 400, depth: int = 5, min_leaf: int = 200, alpha: float = 0.5, tau_days: float = 30.0, step: float = 0.05) -> Model:
+    """Fits on rows with a finite label, weighted by ``w``: ``mse``, ``mae``, ``recency``, ``quantile`` or ``classifier``.
+
+    All but ``quantile`` hold out a tenth, drawn by a hash of the row, and stop early by its error.
+    """
     known = rows.where(X.finite(F.col(label)))
     if kind == "recency":
         known = recency(known, tau_days)
-    data = assemble(known, features).select("_x", F.col("w").alias("_w"), F.col(label).cast("double").alias("_y"))
+    draw = F.pmod(F.xxhash64(*features, label), F.lit(HELD_OUT)) == 0
+    data = assemble(known, features).select("_x", F.col("w").alias("_w"), F.col(label).cast("double").alias("_y"), draw.alias("_held"))
     common = {"featuresCol": "_x", "weightCol": "_w", "maxDepth": depth, "minInstancesPerNode": min_leaf, "seed": 7}
     if kind in ("mse", "mae", "recency"):
-        gbt = GBTRegressor(labelCol="_y", lossType="absolute" if kind == "mae" else "squared", maxIter=iterations, stepSize=step, predictionCol="_p", **common)
-        return Model(kind, features, [gbt.fit(data)])
+        loss = "absolute" if kind == "mae" else "squared"
+        return Model(kind, features, [_fit_stopping(data, lambda n: GBTRegressor(labelCol="_y", lossType=loss, maxIter=n, stepSize=step, predictionCol="_p", **common), iterations, loss)])
     if kind == "classifier":
         data = data.withColumn("_y", (F.col("_y") > 0).cast("double"))
-        return Model(kind, features, [GBTClassifier(labelCol="_y", maxIter=iterations, stepSize=step, predictionCol="_p", **common).fit(data)])
+        return Model(kind, features, [_fit_stopping(data, lambda n: GBTClassifier(labelCol="_y", maxIter=n, stepSize=step, predictionCol="_p", **common), iterations)])
     if kind == "quantile":
-        return _fit_quantile(data, features, alpha, iterations, step, common)
+        return _fit_quantile(data.drop("_held"), features, alpha, iterations, step, common)
     raise ValueError(f"unknown kind of model: {kind!r}")
 
 
+def _fit_stopping(data: DataFrame, trainer, iterations: int, *loss: str):
+    """``validationIndicatorCol`` ends at the first round without gain; here rounds are doubled until ``stop_round`` is among them, then fitted up to it."""
+    data = data.persist()
+    learn, held = data.where(~F.col("_held")), data.where("_held")
+    if held.isEmpty() or learn.isEmpty():
+        return trainer(iterations).fit(data)
+    rounds = min(2 * PATIENCE, iterations)
+    while True:
+        model = trainer(rounds).fit(learn)
+        stop = stop_round(model.evaluateEachIteration(held, *loss))
+        if stop is not None or rounds == iterations:
+            break
+        rounds = min(2 * rounds, iterations)
+    if stop is not None and stop < rounds:
+        model = trainer(stop).fit(learn)
+    data.unpersist()
+    return model
+
+
 def _fit_quantile(data: DataFrame, features: list[str], alpha: float, rounds: int, step: float, common: dict) -> Model:
     """Boosting of the pinball loss: trees follow its gradient, and each leaf takes the quantile of its residuals."""
     start = data.agg(F.percentile("_y", F.lit(alpha)).alias("q")).first()["q"] or 0.0
@@ -146,13 +180,22 @@ def shuffled(rows: DataFrame, column: str, key: str, seed: int, buckets: int = 6
 
 def permutation_importance(model: Model, rows: DataFrame, label: str, key: str = "trade_id", repeats: int = 3) -> DataFrame:
     """``feature, importance``: mean loss of weighted R2 when a feature is permuted."""
-    spark = rows.sparkSession
-    base = weighted_r2(predict(model, rows, "_s"), label, "_s")
+    y, w = F.col(label), F.col("w")
+    known = rows.where(X.finite(y)).select(key, label, "w", *model.features).persist()
+    mean = known.agg(weighted_mean(y, w).alias("m")).first()["m"] or 0.0
+    total = known.agg(F.sum(w * (y - mean) * (y - mean)).alias("t")).first()["t"]
+
+    def missed(variants: DataFrame) -> float:
+        scored = predict(model, variants, "_s")
+        return scored.agg(F.sum(w * (y - F.col("_s")) * (y - F.col("_s"))).alias("e")).first()["e"]
+
     out = []
+    base = missed(known) if total else 0.0
     for c in model.features:
-        drops = [base - weighted_r2(predict(model, shuffled(rows, c, key, 100 * k), "_s"), label, "_s") for k in range(repeats)]
-        out.append((c, float(np.mean(drops))))
-    return spark.createDataFrame(out, "feature string, importance double")
+        variants = [shuffled(known, c, key, 100 * k) for k in range(repeats)]
+        out.append((c, (missed(reduce(DataFrame.unionByName, variants)) / repeats - base) / total if total else 0.0))
+    known.unpersist()
+    return rows.sparkSession.createDataFrame(out, "feature string, importance double")
 
 
 def impute_median(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -358,28 +359,27 @@ QUERIES["q_stream_sessions"] = lambda spark, sf_dir: S.drain(S.sessions(S.event_
 ORACLE_SQL |= {"q_stream_flow_grid": O.STREAM_FLOW_GRID, "q_stream_sessions": O.STREAM_SESSIONS}
 
 
-MODEL_FEATURES = ["obi_signed", "px_vs_mid_bps", "score", "dt_last_bybit_liq_s"]
-
-
-def _model_rows(f: Feeds) -> DataFrame:
-    rows = rule_rows(f).join(P.book_state(f), "trade_id").join(E.seconds_since(f.trades, "trade_id", f.bybit, f.spec).withColumnRenamed("since", "dt_last_bybit_liq_s"), "trade_id")
-    obi = X.imbalance(F.col("bid_amount"), F.col("ask_amount"))
-    return rows.withColumns({"obi_signed": obi * F.col("s"), "px_vs_mid_bps": X.distance_bps(F.col("s"), F.col("price"), F.col("mid"))})
+def _model(f: Feeds) -> tuple[DataFrame, ML.Model]:
+    """The panel, and a boosted model of the markout at 30 s on all its features, fitted on the training split."""
+    rows = P.panel(f)
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    rows = rows.checkpoint()  # hundreds of jobs read it, and its plan is large
+    return rows, ML.fit(rows.where("split = 'train'"), P.feature_columns(rows), "pnl_30", "mse")
 
 
 @query()
 def q_gbt_score(f: Feeds) -> DataFrame:
-    """A boosted model of the markout at 30 s, fitted on the training split; its scores of all trades."""
-    rows = _model_rows(f)
-    model = ML.fit(rows.where("split = 'train'"), MODEL_FEATURES, "pnl_30", "mse", iterations=10)
+    """The boosted model's scores of all trades."""
+    rows, model = _model(f)
     return ML.predict(model, rows, "gbt_score").select("trade_id", "sym", "split", "gbt_score")
 
 
 @query()
 def q_importance(f: Feeds) -> DataFrame:
-    rows = _model_rows(f)
-    model = ML.fit(rows.where("split = 'train'"), MODEL_FEATURES, "pnl_30", "mse", iterations=5)
-    return ML.permutation_importance(model, rows.where("split = 'val'"), "pnl_30", repeats=1)
+    rows, model = _model(f)
+    return ML.permutation_importance(model, rows.where("split = 'val'"), "pnl_30", repeats=3)
 
 
 @query(O.WF_SUMMARY)
