@@ -397,6 +397,12 @@ def test_language_held_out_accuracy(spark, odd, none):
     assert all(0 <= r["score"] <= 1 for r in by) and langid.identify(none).count() == 0
 
 
+def test_language_codewords_are_apart():
+    for n in (2, 4, 65, 200):
+        code = langid.codewords(n)
+        assert min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)) >= 3 and code.shape[1] >= langid.BITS
+
+
 # Quality
 
 

@@ -1,6 +1,6 @@
 """Language identification with error-correcting output codes.
 
-Each language has a codeword of ``BITS`` bits. A text is a histogram of hashed character 1- to 3-grams over the whole,
+Each language has a codeword of ``BITS`` bits, more where there are too many languages for that. A text is a histogram of hashed character 1- to 3-grams over the whole,
 lower-cased text; for every bit a ridge-regularised logistic classifier, trained in numpy, predicts the side its language
 lies on. Decoding is loss-weighted: each codeword costs the sum of the logistic losses of its bits against the margins, bits
 counting by their training accuracy, and the cheapest wins. The score is the softmax of the negative cost; a text is
@@ -28,6 +28,8 @@ from .common import fold, text_of
 
 DIM = 4096
 BITS = 15
+#: Least distance of two codewords.
+APART = 3
 PER_LANG = 400
 #: Two best scores nearer than this are ambiguous.
 MARGIN = 0.2
@@ -50,18 +52,26 @@ def features(text: str) -> np.ndarray:
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
-    """``n`` codewords of +1/-1: the best of many random codes by smallest distance, with no constant column."""
-    rng, best, far = np.random.default_rng(seed), None, -1
-    for _ in range(300):
-        code = rng.choice([-1, 1], size=(n, BITS))
-        if n > 1:
-            flat = np.abs(code.sum(0)) == n
-            code[0, flat] *= -1
-            apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)) if n <= 64 else 1
-        else:
-            apart = BITS
-        if apart > far:
-            best, far = code, apart
+    """``n`` codewords of +1/-1: the best of many random codes by smallest distance, with no constant column.
+
+    There are ``BITS`` bits, or as many more as bring any two codewords ``APART`` bits apart.
+    """
+    rng, bits, best, far = np.random.default_rng(seed), BITS, None, -1
+    while far < min(APART, BITS):
+        best, far = None, -1
+        for _ in range(300 if n <= 64 else 3):
+            code = rng.choice([-1, 1], size=(n, bits))
+            if n > 1:
+                flat = np.abs(code.sum(0)) == n
+                code[0, flat] *= -1
+                same = code.astype(np.float32) @ code.T.astype(np.float32)
+                np.fill_diagonal(same, -bits)
+                apart = int((bits - same.max()) // 2)
+            else:
+                apart = bits
+            if apart > far:
+                best, far = code, apart
+        bits += 1
     return best.astype(np.float32)
 
 
@@ -77,7 +87,8 @@ class Codes:
         rows = (rows / rows.sum())[:, None].astype(np.float32)
         self.mean = (x * rows).sum(0)
         z = (x - self.mean) * 20
-        w, b = np.zeros((DIM, BITS), dtype=np.float32), np.zeros(BITS, dtype=np.float32)
+        bits = self.code.shape[1]
+        w, b = np.zeros((DIM, bits), dtype=np.float32), np.zeros(bits, dtype=np.float32)
         mw = np.zeros_like(w)
         for _ in range(steps):  # full-batch gradient descent with momentum
             g = -y / (1 + np.exp(np.clip(y * (z @ w + b), -30, 30))) * rows
