@@ -507,3 +507,12 @@ def test_toxicity_held_out_accuracy(spark, odd, none, no_labels):
     assert left.columns == docs.columns and 250 < left.count() < 280
     by = toxicity.toxicity(odd, no_labels).collect()
     assert len(by) == odd.count() and not any(r["predicted"] for r in by) and toxicity.toxicity(none, no_labels).count() == 0
+
+
+def test_toxicity_of_long_clauses_counts_each_insult_once():
+    g = toxicity.Grammar({"zonk": 1.0})
+    far = " and".join([" zonk" + " the plain word" * 100] * 3)
+    assert len(far) > 4000 and g.evidence(far).sum() == 3
+    fill = " plainword" * 300
+    assert (g.evidence(f"he said{fill} zonk") == g.clause(f"he said{fill} zonk".split())).all()
+    assert g.evidence((" zonk" + fill) * 40).sum() == 40

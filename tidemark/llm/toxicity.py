@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +128,7 @@ class Grammar:
                 return w
         return None
 
-    def clause(self, words: list[str]) -> np.ndarray:
+    def clause(self, words: Iterable[str]) -> np.ndarray:
         """The weights of a clause by mark."""
         out, state = np.zeros(len(MARKS)), 0
         last = 0.0
@@ -157,11 +157,12 @@ class Grammar:
             begin = end - size + 1
             if begin < done or (begin and low[begin - 1].isalpha()):
                 continue
-            before = [m.end() for m in _CLAUSE_END.finditer(low, max(0, begin - 2000), begin)]
-            lo = before[-1] if before else max(0, begin - 2000)
-            after = _CLAUSE_END.search(low, end + 1, end + 2000)
-            done = after.start() if after else min(len(low), end + 2000)
-            out += self.clause(_WORD.findall(low[max(lo, 0) : done]))
+            lo = max(done, 0)  # the clause of a hit starts after the last one's and is read once, as a stream
+            for m in _CLAUSE_END.finditer(low, lo, begin):
+                lo = m.end()
+            after = _CLAUSE_END.search(low, end + 1)
+            done = after.start() if after else len(low)
+            out += self.clause(m.group() for m in _WORD.finditer(low, lo, done))
         return out
 
 
