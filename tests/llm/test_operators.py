@@ -516,3 +516,12 @@ def test_toxicity_of_long_clauses_counts_each_insult_once():
     fill = " plainword" * 300
     assert (g.evidence(f"he said{fill} zonk") == g.clause(f"he said{fill} zonk".split())).all()
     assert g.evidence((" zonk" + fill) * 40).sum() == 40
+
+
+def test_pii_joins_long_spans_from_their_pieces():
+    item = "first.last.name (at) department.institution-of-many-words (dot) example-example (dot) org"
+    text = "x" * 60 + " " + item + " " + "y" * 200
+    a, b, k = 61, 61 + len(item), pii.KINDS.index("email")
+    found = [(0, 128, a, k, 128), (64, 192, 64, k, b)]
+    assert pii.Finder._reconcile(text, [], found) == [(a, "email", b)]
+    assert pii.Finder._reconcile(text, [], found[1:]) == []

@@ -353,11 +353,24 @@ class Finder:
     @staticmethod
     def _reconcile(text: str, base: list, found: list) -> list:
         """One set of spans for the whole text, from those of its windows."""
-        ranked = []
+        ranked, cut = [], []
         for lo, hi, a, k, b in found:
-            margin = min(a - lo if lo else WINDOW, hi - b if hi < len(text) else WINDOW)
-            if margin > 0 and _plausible(KINDS[k], text[a:b]):  # a span at a window's edge is whole in the next one
-                ranked.append((-margin, a - b, a, KINDS[k], b))
+            left, right = a - lo if lo else WINDOW, hi - b if hi < len(text) else WINDOW
+            if min(left, right) <= 0:
+                cut.append((k, a, b, left > 0, right > 0))
+            elif _plausible(KINDS[k], text[a:b]):
+                ranked.append((-min(left, right), a - b, a, KINDS[k], b))
+        # A short span at a window's edge is whole in the next one; a longer one is joined from its pieces, after all whole ones.
+        joined: list[list] = []
+        for k, a, b, begins, ends in sorted(cut):
+            if joined and joined[-1][0] == k and a <= joined[-1][2]:
+                last = joined[-1]
+                last[3] |= begins and a == last[1]
+                last[4] = ends if b > last[2] else last[4] or ends and b == last[2]
+                last[2] = max(last[2], b)
+            else:
+                joined.append([k, a, b, begins, ends])
+        ranked += [(0, a - b, a, KINDS[k], b) for k, a, b, begins, ends in joined if begins and ends and _plausible(KINDS[k], text[a:b])]
         kept = list(base)
         for _, _, a, kind, b in sorted(ranked):
             if all(b <= x or a >= y for x, _, y in kept):
