@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.operators import analysis as A
+from tidemark.operators import eda
 from tidemark.operators import events as E
 from tidemark.operators import features as P
 from tidemark.operators import grid as G
 from tidemark.operators import markout as M
 from tidemark.operators import ml as ML
+from tidemark.operators import quantiles as Q
 from tidemark.operators import walkforward as W
 from tidemark.operators.asof import asof_mid, windowed
 from tidemark.plans import catalogue
-from tidemark.sources.feeds import Catalog, Feeds
-from tidemark.spec import DAY_US, Spec, utc_us
+from tidemark.sources.feeds import Catalog, Feeds, from_catalog, validate_sorted
+from tidemark.spec import DAY_US, Spec, midnight
 
 US = 1_000_000
 SPEC = Spec()
@@ -122,7 +124,7 @@ def test_flow_window_excludes_the_current_second(spark):
 
 
 def test_calendar(spark):
-    ts = [utc_us(2026, 1, 1), utc_us(2026, 1, 1) + 2 * 3600 * US, utc_us(2025, 12, 1), utc_us(2025, 12, 1) + 13 * 3600 * US, utc_us(2025, 12, 6)]
+    ts = [midnight("2026-01-01"), midnight("2026-01-01") + 2 * 3600 * US, midnight("2025-12-01"), midnight("2025-12-01") + 13 * 3600 * US, midnight("2025-12-06")]
     f = feeds(spark, [(t, 1, 1) for t in ts], [(0, 1)])
     r = P.calendar(f).orderBy("trade_id").collect()
     assert [(x["min_to_funding"], x["in_funding_window"]) for x in r[:2]] == [(0, 1), (360, 0)]
@@ -153,9 +155,9 @@ def test_cascades_split_on_a_longer_gap_only(spark):
 
 
 def test_folds_and_months():
-    folds = W.walk_forward_folds(utc_us(2025, 11, 1), utc_us(2026, 4, 29), SPEC, 3)
-    assert [f[2] for f in folds] == [utc_us(2026, 2, 1), utc_us(2026, 3, 1), utc_us(2026, 4, 1)]
-    assert all(f[1] == f[2] - 300 * US for f in folds) and folds[-1][3] == utc_us(2026, 4, 29)
+    folds = W.walk_forward_folds(midnight("2025-11-01"), midnight("2026-04-29"), SPEC, 3)
+    assert [f[2] for f in folds] == [midnight("2026-02-01"), midnight("2026-03-01"), midnight("2026-04-01")]
+    assert all(f[1] == f[2] - 300 * US for f in folds) and folds[-1][3] == midnight("2026-04-29")
 
 
 def test_threshold_cv_finds_an_informative_cut(spark):
@@ -179,11 +181,105 @@ def test_knee_and_clusters(spark):
 
 
 def test_unknown_source_is_an_error():
-    assert Catalog("/d").path("trades", "btc") == "/d/trades/btc.parquet"
+    assert Catalog("/d").path("trades", "BTC") == "/d/binance_trades/perp_btcusdt.parquet"
+    assert Catalog("/d/").path("liq_bybit", "eth") == "/d/bybit_liquidations/ethusdt.parquet"
     with pytest.raises(ValueError):
         Catalog("/d").path("orders", "btc")
 
 
+def write_feeds(spark, root, symbols=("btc", "eth"), files=2):
+    """A data directory: each symbol's feeds lie in a folder of several files, with the same rows in each but other prices."""
+    catalog = Catalog(str(root))
+    for n, sym in enumerate(symbols):
+        level = 100.0 * 10**n
+        for k in range(files):
+            t0 = k * 1000 * US
+            deal = lambda rows: spark.createDataFrame([(t0 + t * US, sym, side, level * p, 1.0) for t, side, p in rows], "timestamp long, ticker string, side string, price double, amount double").coalesce(1)  # noqa: E731, B023
+            frames = {
+                "trades": deal([(1, "buy", 1.0), (2, "sell", 1.0)]),
+                "liq_binance": deal([(0, "buy", 1.0)]),
+                "liq_bybit": deal([(0, "sell", 1.0)]),
+                "bbo": spark.createDataFrame([(t0 + t * US, sym, level - 0.5, 1.0, level + 0.5, 1.0) for t in (0, 100, 400)], "timestamp long, ticker string, bid_price double, bid_amount double, ask_price double, ask_amount double").coalesce(1),
+            }
+            for source, frame in frames.items():
+                frame.write.mode("append").parquet(catalog.path(source, sym))
+    return catalog
+
+
+def test_rows_of_symbols_and_files_are_told_apart(spark, tmp_path):
+    f = from_catalog(spark, write_feeds(spark, tmp_path), ["btc", "eth"], SPEC)
+    rows = M.markouts(f).collect()
+    assert len(rows) == len({r["trade_id"] for r in rows}) == 8
+    assert all(r[f"pnl_{tau}"] == pytest.approx(0.5) for r in rows for tau in SPEC.taus)
+    windows = E.liquidation_windows(f, "binance", (30,)).join(f.trades, "trade_id").collect()
+    assert len(windows) == 8 and all(r["net_30"] == (100 if r["sym"] == "btc" else 1000) for r in windows)
+    assert {(r["venue"], r["sym"], r["n"]) for r in eda.liquidation_summary(f).where("side = 'ALL' and h = 30").collect()} == {(v, s, 2) for v in ("binance", "bybit") for s in ("btc", "eth")}
+
+
+def test_order_audit_counts_backward_steps(spark):
+    times = [1, 2, 2, 1, 5, 3, 9]
+    rows = trades(spark, [(t, 1, 1) for t in times])
+    for bucket in (1 << 20, 4, 2, 1):
+        assert validate_sorted(rows, bucket).first()["backward"] == 2
+    assert validate_sorted(rows.orderBy("t").withColumn("seq", F.col("t") * 10 + F.col("seq")), 4).first()["backward"] == 0
+
+
+def test_exact_quantiles_are_those_of_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = {"a": rng.normal(size=3000), "b": np.concatenate([np.zeros(900), -np.zeros(300), rng.integers(-3, 4, 300).astype(float)]), "c": np.array([5.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("a", float("nan")), ("d", None)], "g string, v double").repartition(7)
+    points = [0.0, 0.1, 0.25, 0.5, 0.77, 0.99, 1.0]
+    got = {r["g"]: r["values"] for r in Q.exact_quantiles(rows, ["g"], "v", points, pieces=16).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        assert got[k] == pytest.approx([float(np.quantile(vs, p)) for p in points], abs=1e-12)
+    assert all(math.copysign(1, v) == 1 for v in got["b"] if v == 0)
+
+
+def test_place_counts_cuts_below(spark):
+    cuts = [-2.0, 0.0, 0.0, 1.5, 7.0]
+    rows = spark.createDataFrame([(float(x),) for x in (-9, -2, -1, 0, 1, 1.5, 6, 7, 99)], "x double").withColumn("cuts", F.array(*map(F.lit, cuts)))
+    for r in rows.select("x", X.place(F.col("cuts"), F.col("x"), 5).alias("a"), X.place(F.col("cuts"), F.col("x"), 5, up_to=True).alias("b")).collect():
+        assert (r["a"], r["b"]) == (sum(c < r["x"] for c in cuts), sum(c <= r["x"] for c in cuts))
+
+
+def signed_zeros(spark):
+    """Scores of both zeros: as numbers they are one."""
+    scores = [-5.0, -0.0, 0.0, -0.0, 0.0, 3.0, -0.0, 8.0] * 10
+    return spark.createDataFrame([("x", i * DAY_US // 8, i, "2024", 2e5, float(i % 5 - 2), s, "train") for i, s in enumerate(scores)], "sym string, t long, seq long, month string, w double, pnl double, score double, split string").withColumns({"pnl_30": F.col("pnl"), "vol": F.col("w")})
+
+
+def test_signed_zeros_are_one_value(spark):
+    rows = signed_zeros(spark)
+    plain = rows.withColumn("score", F.col("score") + 0.0)
+    same = lambda f: sorted(map(repr, f(rows).collect())) == sorted(map(repr, f(plain).collect()))
+    breaks = A.quantile_breaks(rows, ["sym"], "score", 5).first()["breaks"]
+    assert breaks == sorted(set(breaks))
+    curve = A.threshold_curve(rows, ["sym"], "score", SPEC).collect()
+    assert all(r["n"] == 80 for r in curve) and len({r["thr"] for r in curve}) == len(curve)
+    for f in (
+        lambda d: A.conditional_markout(d, ["sym"], "score", "pnl_30").drop("lo", "hi"),
+        lambda d: A.calibration(d, ["sym"], "score", "pnl_30"),
+        lambda d: A.edge(d, ["sym"], "score", "pnl_30"),
+        lambda d: A.threshold_curve(d, ["sym"], "score", SPEC),
+        lambda d: A.threshold_cv(d, ["sym"], "score", SPEC, embargo_us=0),
+        lambda d: A.fit_keep_best(d, ["sym"], "score", "pnl_30", 0.5),
+        lambda d: A.regime_by_month(d, "score", "vol", (30,)),
+    ):
+        assert same(f)
+
+
+def test_curve_is_the_filter_at_each_cut(spark):
+    rows = signed_zeros(spark)
+    for r in A.threshold_curve(rows, ["sym"], "score", SPEC, n=7).collect():
+        f = rows.select("sym", "t", "w", "pnl", X.keep_below(F.col("score"), F.lit(r["thr"])).alias("f"))
+        want = M.evaluate_filter(f, ["sym"], SPEC).first()
+        for c in ("n", "n_days", "pnl_all", "pnl_kept", "pnl_filtered", "score", "turnover_per_day", "constraint_ok", "frac_w", "frac_n"):
+            assert (r[c] is None) == (want[c] is None) and (r[c] is None or r[c] == pytest.approx(want[c])), c
+
+
 def test_signal_contract(spark):
     f = feeds(spark, [(i, 1, 1) for i in range(6)], [(0, 1)])
     assert W.signal(f).agg(F.sum("f_30")).first()[0] == 0

@@ -114,6 +114,26 @@ def keep_below(score: Column, cut) -> Column:
     return F.coalesce(score < cut, F.lit(False)).cast("int")
 
 
+def place(cuts: Column, x: Column, size: int, up_to: bool = False) -> Column:
+    """How many of the sorted ``cuts`` (``size`` at most) lie below ``x``, or with ``up_to`` at or below it, by bisection."""
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        cut = F.get(cuts, mid)
+        right = (s["lo"] < s["hi"]) & ((cut <= x) if up_to else (cut < x))
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    return F.aggregate(F.array_repeat(F.lit(0), size.bit_length()), start, step, lambda s: s["lo"])
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of the pairs without a NULL; NULL where one side does not vary, which ``corr`` takes for an error."""
+    both = x.isNotNull() & y.isNotNull()
+    one = lambda c: F.when(both, c)
+    return ratio(F.covar_pop(one(x), one(y)), F.stddev_pop(one(x)) * F.stddev_pop(one(y)))
+
+
 def rounded(c: Column, digits: int = 4) -> Column:
     """Rounded for output, without a negative zero."""
     return F.round(c, digits) + 0.0

@@ -9,6 +9,8 @@ from tidemark.functions import exprs as X
 from tidemark.operators.asof import asof, asof_mid, at_offsets, mids_at
 from tidemark.operators.events import cascades, tagged
 from tidemark.operators.grid import spine
+from tidemark.operators.markout import weighted_mean
+from tidemark.operators.quantiles import quantile
 from tidemark.sources.feeds import Feeds
 
 
@@ -82,7 +84,7 @@ def venue_minutes(feeds: Feeds) -> DataFrame:
 
 
 def venue_corr(feeds: Feeds) -> DataFrame:
-    return venue_minutes(feeds).groupBy("sym").agg(F.corr(F.log1p("binance"), F.log1p("bybit")).alias("corr"), F.count("*").alias("minutes"))
+    return venue_minutes(feeds).groupBy("sym").agg(X.pearson(F.log1p("binance"), F.log1p("bybit")).alias("corr"), F.count("*").alias("minutes"))
 
 
 def liquidation_markouts(feeds: Feeds, horizons: tuple[int, ...] = (30, 120, 300)) -> DataFrame:
@@ -97,11 +99,9 @@ def liquidation_markouts(feeds: Feeds, horizons: tuple[int, ...] = (30, 120, 300
 def liquidation_summary(feeds: Feeds, horizons: tuple[int, ...] = (30, 120, 300)) -> DataFrame:
     """Notional-weighted mean move by venue and symbol, for each side and for both (``ALL``)."""
     rows = liquidation_markouts(feeds, horizons).withColumn("h", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"ret_{h}").alias("ret")) for h in horizons]))).select("venue", "sym", "side", "notional", "h.h", "h.ret")
-    rows.createOrReplaceTempView("_liquidation_moves")
-    return rows.sparkSession.sql("""
-        select venue, sym, coalesce(side, 'ALL') as side, h, count(ret) as n,
-               sum(if(ret is not null, notional * ret, null)) / sum(if(ret is not null, notional, null)) as mean_ret
-        from _liquidation_moves group by grouping sets ((venue, sym, side, h), (venue, sym, h))""")
+    keys = [F.col(c) for c in ("venue", "sym", "side", "h")]
+    grouped = rows.groupingSets([keys, [k for k in keys if k is not keys[2]]], *keys)
+    return grouped.agg(F.count("ret").alias("n"), weighted_mean(F.col("ret"), F.col("notional")).alias("mean_ret")).withColumn("side", F.coalesce("side", F.lit("ALL")))
 
 
 def liquidation_profile(feeds: Feeds, offsets_s: tuple[float, ...]) -> DataFrame:
@@ -111,7 +111,8 @@ def liquidation_profile(feeds: Feeds, offsets_s: tuple[float, ...]) -> DataFrame
     base = asof_mid(rows.withColumn("qt", F.col("t")), feeds.book, spec).select("id", F.col("mid").alias("m0"))
     tall = asof_mid(at_offsets(rows, {str(o): spec.us(o) for o in offsets_s}), feeds.book, spec).join(base, "id")
     move = (F.col("mid") - F.col("m0")) / F.col("m0") * 1e4
-    return tall.withColumn("move", move).groupBy("venue", "sym", "side", F.col("off").cast("double").alias("offset")).agg(F.count("move").alias("n"), F.avg("move").alias("mean"), F.median("move").alias("median"))
+    tall, by = tall.select("venue", "sym", "side", F.col("off").cast("double").alias("offset"), move.alias("move")), ["venue", "sym", "side", "offset"]
+    return tall.groupBy(*by).agg(F.count("move").alias("n"), F.avg("move").alias("mean")).join(quantile(tall, by, "move", 0.5, "median"), by, "left")
 
 
 def impact_by_size(feeds: Feeds, edges: tuple[float, ...], offsets_s: tuple[int, ...], least: int = 50) -> DataFrame:
@@ -153,7 +154,7 @@ def _around(feeds: Feeds, all_: DataFrame, points: list[tuple[str, float, int, i
     from tidemark.operators.grid import BLOCK, flow_grid
 
     spec = feeds.spec
-    rows = all_.withColumn("id", F.concat_ws("/", "sym", F.col("cascade").cast("string"))).select("id", "sym", "cascade", "sgn", "m0", "begin_t").persist()  # one row per cascade, read by every branch
+    rows = all_.withColumn("id", F.concat_ws("/", "sym", F.col("cascade").cast("string"))).select("id", "sym", "cascade", "sgn", "m0", "begin_t")
     at = F.array(*[F.struct(F.lit(n).alias("point"), F.lit(spec.us(c)).cast("long").alias("d"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, c, lo, hi in points])
     tall = rows.withColumn("_p", F.explode(at)).select("id", "sym", "sgn", "m0", "begin_t", "_p.point", "_p.lo", "_p.hi", (F.col("begin_t") + F.col("_p.d")).alias("qt"))
     found = asof(tall, feeds.book, ["mid", "spread", "bid_amount", "ask_amount"], ["sym"], "qt", spec.bucket_us)
@@ -162,7 +163,7 @@ def _around(feeds: Feeds, all_: DataFrame, points: list[tuple[str, float, int, i
     depth = F.col("bid_amount") + F.col("ask_amount")
     obi = F.col("sgn") * (F.col("bid_amount") - F.col("ask_amount")) / F.greatest(depth, F.lit(1e-9))
     book = found.join(last, "sym").groupBy("sym", "point").agg(F.avg(move).alias("move"), F.avg(F.col("spread") / F.col("mid") * 1e4).alias("spread_bps"), F.avg(depth * F.col("mid")).alias("depth_usd"), F.avg(obi).alias("obi_signed"), F.count("*").alias("n"))
-    seconds = flow_grid(feeds).persist().withColumns({"t": F.col("sec"), "seq": F.lit(0)})
+    seconds = flow_grid(feeds).withColumns({"t": F.col("sec"), "seq": F.lit(0)})
     values = {"cnt": F.col("cnt").cast("long"), "vol": F.col("signed_vol")}
     ends = tall.withColumn("sec", X.second(F.col("begin_t"), spec)).withColumn("end", F.explode(F.array("lo", "hi"))).select(F.concat_ws("|", "id", "point", F.col("end").cast("string")).alias("key"), "id", "sym", "point", "sgn", "lo", "hi", "end", (F.col("sec") + F.col("end") - 1).alias("t"))
     totals = windowed(ends, "key", seconds, values, {"all": 1 << 40}, ["sym"], BLOCK)

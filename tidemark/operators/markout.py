@@ -54,6 +54,25 @@ def filter_metrics(pnl: Column, w: Column, f: Column, n_days: Column, spec, scal
     ]
 
 
+def metrics_of_sums(spec, scale: float = 1.0) -> list[Column]:
+    """The columns of ``filter_metrics`` from sums over rows with a finite markout: ``n, sw, swp`` of all, ``kn, kw, kwp`` of those kept."""
+    c = F.col
+    turnover = F.when(c("n_days") > 0, F.coalesce(c("kw"), F.lit(0.0)) * scale / c("n_days"))
+    all_, kept = X.ratio(c("swp"), c("sw")), X.ratio(c("kwp"), c("kw"))
+    gone_w, gone_wp = c("sw") - F.coalesce(c("kw"), F.lit(0.0)), c("swp") - F.coalesce(c("kwp"), F.lit(0.0))
+    return [
+        all_.alias("pnl_all"),
+        kept.alias("pnl_kept"),
+        F.when(c("kn") < c("n"), X.ratio(gone_wp, gone_w)).alias("pnl_filtered"),
+        (kept - all_).alias("score"),
+        turnover.alias("turnover_per_day"),
+        F.coalesce(turnover >= spec.turnover_min_per_day, F.lit(False)).alias("constraint_ok"),
+        F.when(c("kn") < c("n"), X.ratio(gone_w, c("sw"))).otherwise(0.0).alias("frac_w"),
+        X.ratio((c("n") - c("kn")).cast("double"), c("n")).alias("frac_n"),
+        c("n"),
+    ]
+
+
 def evaluate_filter(rows: DataFrame, by: list[str], spec, scale: float = 1.0, pnl: str = "pnl", f: str = "f") -> DataFrame:
     """``filter_metrics`` of each group; ``n_days`` is the number of distinct calendar days of its rows."""
     days = F.count_distinct(X.day(F.col("t")))

@@ -13,7 +13,7 @@ from tidemark.operators import ml
 from tidemark.operators.analysis import threshold_cv
 from tidemark.operators.markout import evaluate_filter
 from tidemark.sources.feeds import Feeds
-from tidemark.spec import Spec, utc_us
+from tidemark.spec import Spec, midnight
 
 Fold = tuple[int, int, int, int]
 #: From training rows, horizon and step to (scored rows of any panel, threshold by symbol).
@@ -24,7 +24,7 @@ def month_starts(first: int, end: int) -> list[int]:
     """First moments of the months in [first, end), and ``end`` itself."""
     at = datetime.fromtimestamp(first / 1e6, UTC)
     year, month, out = at.year, at.month, []
-    while (t := utc_us(year, month, 1)) < end:
+    while (t := midnight(f"{year:04d}-{month:02d}-01")) < end:
         if t >= first:
             out.append(t)
         year, month = (year + 1, 1) if month == 12 else (year, month + 1)
@@ -32,9 +32,12 @@ def month_starts(first: int, end: int) -> list[int]:
 
 
 def walk_forward_folds(first: int, end: int, spec: Spec, n_oos: int = 3) -> list[Fold]:
-    """Expanding training up to each of the last ``n_oos`` months, less the embargo; a partial month counts."""
+    """Expanding training up to each of the last ``n_oos`` months, less the embargo; a partial month counts.
+
+    A month with nothing before it cannot be tested, so only those that begin after ``first`` count.
+    """
     edges = month_starts(first, end)
-    months = list(zip(edges[:-1], edges[1:], strict=True))
+    months = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a > first]
     return [(first, a - spec.embargo_us, a, b) for a, b in months[-n_oos:]]
 
 
@@ -62,7 +65,7 @@ def run_walk_forward(panel: DataFrame, tau: int, fit_fn: FitFn, folds: list[Fold
         if train.isEmpty() or test.isEmpty():
             continue
         predict, cuts = fit_fn(train, tau, step)
-        scored = predict(test).join(F.broadcast(cuts.select("sym", "thr")), "sym", "left").withColumns({"f": X.keep_below(F.col("score"), F.col("thr")), "pnl": F.col(f"pnl_{tau}")})
+        scored = predict(test).join(F.broadcast(cuts.select("sym", "thr")), "sym", "left").withColumns({"f": X.keep_below(F.col("score"), F.coalesce("thr", F.lit(0.0))), "pnl": F.col(f"pnl_{tau}")})
         rows = evaluate_filter(scored.drop("score"), ["sym"], spec, step).withColumn("fold", F.lit(datetime.fromtimestamp(a / 1e6, UTC).strftime("%Y-%m")))
         out = rows if out is None else out.unionByName(rows)
     return out

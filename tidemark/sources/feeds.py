@@ -1,17 +1,18 @@
 """Feeds: where they lie, their schemas, and the normal forms that the operators take.
 
-Normal forms, all with ``sym`` and ``t`` (microseconds) and ``seq`` (order among equal times):
+Normal forms, all with ``sym`` and ``t`` (microseconds) and ``seq`` (order among equal times, unique in a feed):
 
-* trades: ``trade_id, side, s, price, amount, notional, w``
+* trades: ``trade_id, side, s, price, amount, notional, w``; ``trade_id`` is unique over all symbols, as operators join on it
 * book: ``mid, spread, bid_amount, ask_amount``
 * liquidations: ``venue, side, sgn, price, notional, signed`` with ``t`` the time they became known and ``raw_t`` their own
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,29 +27,53 @@ BBO = T.StructType(_TIME + [T.StructField(c, T.DoubleType()) for c in ("bid_pric
 SCHEMAS = {"trades": TRADES, "bbo": BBO, "liq_binance": LIQUIDATIONS, "liq_bybit": LIQUIDATIONS}
 
 
+# Folder and file name of each source; ``{}`` is the symbol in lower case.
+LAYOUT = {
+    "trades": "binance_trades/perp_{}usdt.parquet",
+    "bbo": "binance_booktickers/perp_{}usdt.parquet",
+    "liq_binance": "binance_liquidations/perp_{}usdt.parquet",
+    "liq_bybit": "bybit_liquidations/{}usdt.parquet",
+}
+#: Bits of a row's place in its file, below the number of the file.
+ROW_BITS = 40
+
+
 @dataclass(frozen=True)
 class Catalog:
-    """Resolves (source, symbol) under a data directory: ``<data_dir>/<source>/<symbol>.parquet``."""
+    """Resolves (source, symbol) under a data directory; a path may be a file or a folder of files."""
 
     data_dir: str
 
     def path(self, source: str, symbol: str) -> str:
         if source not in SCHEMAS:
             raise ValueError(f"unknown source {source!r}; one of {', '.join(SCHEMAS)}")
-        return f"{self.data_dir}/{source}/{symbol}.parquet"
+        return f"{self.data_dir.rstrip('/')}/{LAYOUT[source].format(symbol.lower())}"
 
-    def scan(self, spark: SparkSession, source: str, symbol: str) -> DataFrame:
-        """A lazy scan with the declared schema; ``sym`` and the file's row number come along."""
+    def scan(self, spark: SparkSession, source: str, symbol: str, first_file: int = 0) -> DataFrame:
+        """A lazy scan with the declared schema, ``sym`` and ``seq``: the number of the file, in order of its name, and the row's place in it."""
         raw = spark.read.schema(SCHEMAS[source]).parquet(self.path(source, symbol))
-        return raw.withColumns({"seq": F.col("_metadata.row_index"), "sym": F.lit(symbol)})
+        files = sorted(raw.inputFiles())
+        if len(files) == 1:
+            return raw.withColumns({"seq": F.lit(first_file << ROW_BITS).cast("long") + F.col("_metadata.row_index"), "sym": F.lit(symbol)})
+        # One row per file, joined by a plan that its size decides. Local paths are written with one slash or three.
+        names = spark.createDataFrame([(re.sub("^file:/+", "/", f), first_file + i) for i, f in enumerate(files)], "_file string, _number long")
+        rows = raw.withColumns({"_file": F.regexp_replace("_metadata.file_path", "^file:/+", "/"), "_row": F.col("_metadata.row_index")}).join(names, "_file")
+        return rows.withColumns({"seq": F.shiftleft("_number", ROW_BITS) + F.col("_row"), "sym": F.lit(symbol)}).drop("_file", "_row", "_number")
 
+    def files(self, spark: SparkSession, source: str, symbol: str) -> int:
+        return len(spark.read.schema(SCHEMAS[source]).parquet(self.path(source, symbol)).inputFiles())
 
-def validate_sorted(feed: DataFrame) -> int:
-    """Backward steps of ``t`` in the order of ``seq``; 0 for a sorted feed."""
-    from pyspark.sql import Window
 
-    step = F.col("t") - F.lag("t").over(Window.partitionBy("sym").orderBy("seq"))
-    return feed.select("sym", "t", "seq").withColumn("step", step).where("step < 0").count()
+def validate_sorted(feed: DataFrame, bucket: int = 1 << 20) -> DataFrame:
+    """``sym, backward``: backward steps of ``t`` in the order of ``seq``; 0 for a sorted feed.
+
+    Places are dealt into buckets; a bucket's first row is compared with the last one of the bucket before.
+    """
+    rows = feed.select("sym", "t", "seq", F.shiftright("seq", bucket.bit_length() - 1).alias("_b"))
+    back = F.col("t") < F.lag("t").over(Window.partitionBy("sym", "_b").orderBy("seq"))
+    inner = rows.withColumn("_back", back).groupBy("sym", "_b").agg(F.count_if("_back").alias("n"), F.min_by("t", "seq").alias("first"), F.max_by("t", "seq").alias("last"))
+    edge = F.col("first") < F.lag("last").over(Window.partitionBy("sym").orderBy("_b"))  # one row per bucket
+    return inner.withColumn("_edge", edge).groupBy("sym").agg((F.sum("n") + F.count_if("_edge")).alias("backward"))
 
 
 def trades(raw: DataFrame, spec: Spec, trade_id: Column | None = None) -> DataFrame:
@@ -96,11 +121,14 @@ class Feeds:
 
 
 def from_catalog(spark: SparkSession, catalog: Catalog, symbols: list[str], spec: Spec) -> Feeds:
+    """The feeds of several symbols. Files are numbered over all of them, so ``seq`` and ``trade_id`` are unique."""
+
     def all_of(source: str) -> DataFrame:
-        parts = [catalog.scan(spark, source, s) for s in symbols]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out, n = None, 0
+        for s in symbols:
+            one = catalog.scan(spark, source, s, n)
+            n += catalog.files(spark, source, s)
+            out = one if out is None else out.unionByName(one)
         return out
 
     return Feeds(trades(all_of("trades"), spec), book(all_of("bbo")), liquidations(all_of("liq_binance"), "binance", spec), liquidations(all_of("liq_bybit"), "bybit", spec), spec)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import date
 
 DAY_US = 86_400_000_000
+_EPOCH = date(1970, 1, 1)
 
 
-def utc_us(year: int, month: int, day: int) -> int:
-    return int(datetime(year, month, day, tzinfo=UTC).timestamp()) * 1_000_000
+def midnight(iso: str) -> int:
+    """Microseconds from the epoch to the first moment of a day, ``YYYY-MM-DD``, in UTC."""
+    return (date.fromisoformat(iso) - _EPOCH).days * DAY_US
 
 
 @dataclass(frozen=True)
@@ -17,6 +19,7 @@ class Spec:
     """Times are microseconds since the epoch. ``us_per_s`` is the length of a logical second, so sparse feeds can be stretched."""
 
     us_per_s: int = 1_000_000
+    # Fixed values of the task: horizons, rebate, cap, delay, floor, windows and dates.
     taus: tuple[int, ...] = (30, 120, 300)
     rebate_bps: float = 0.5
     notional_cap: float = 100_000.0
@@ -31,17 +34,22 @@ class Spec:
     cascade_min_events: int = 5
     #: (label, first, end): right-exclusive; the embargo is taken off each trailing edge.
     windows: tuple[tuple[str, int, int], ...] = (
-        ("train", utc_us(2025, 11, 1), utc_us(2026, 3, 1)),
-        ("val", utc_us(2026, 3, 1), utc_us(2026, 4, 1)),
-        ("test", utc_us(2026, 4, 1), utc_us(2026, 4, 29)),
+        ("train", midnight("2025-11-01"), midnight("2026-03-01")),
+        ("val", midnight("2026-03-01"), midnight("2026-04-01")),
+        ("test", midnight("2026-04-01"), midnight("2026-04-29")),
     )
     use_test: bool = True
-    #: Length of the time buckets that as-of lookups and running sums are spread over.
-    bucket_us: int = DAY_US
+    #: Length, in logical seconds, of the time buckets that as-of lookups and running sums are spread over. It is short, so that a
+    #: day with very many rows is hundreds of tasks; what is carried from bucket to bucket is one row for each.
+    bucket_s: int = 300
 
     def us(self, seconds: float) -> int:
         return int(seconds * self.us_per_s)
 
+    @property
+    def bucket_us(self) -> int:
+        return self.us(self.bucket_s)
+
     @property
     def embargo_us(self) -> int:
         return self.us(max(self.taus))
@@ -57,5 +65,5 @@ class Spec:
 #: The driver's ``events`` are sparse: a logical second is a minute there.
 FIXTURE = Spec(
     us_per_s=60_000_000,
-    windows=(("train", utc_us(2024, 1, 1), utc_us(2024, 1, 16)), ("val", utc_us(2024, 1, 16), utc_us(2024, 1, 24)), ("test", utc_us(2024, 1, 24), utc_us(2024, 1, 31))),
+    windows=(("train", midnight("2024-01-01"), midnight("2024-01-16")), ("val", midnight("2024-01-16"), midnight("2024-01-24")), ("test", midnight("2024-01-24"), midnight("2024-01-31"))),
 )
