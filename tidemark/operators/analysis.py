@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.operators.asof import indexed
+from tidemark.operators.lineage import written
 from tidemark.operators.markout import metrics_of_sums, weighted_mean
 from tidemark.operators.quantiles import exact_quantiles, quantile
 
@@ -95,7 +96,7 @@ def threshold_cv(rows: DataFrame, by: list[str], score: str, spec, n_splits: int
     equal ones the smallest wins. A group without such rows has no row; if no candidate counts, the lowest one with -inf.
     """
     embargo = spec.embargo_us if embargo_us is None else embargo_us
-    known = indexed(rows.where(X.finite(F.col(score)) & X.finite(F.col("pnl"))).select(*by, "t", "seq", "w", "pnl", F.col(score).alias("score")), by, spec.bucket_us)
+    known = written(indexed(rows.where(X.finite(F.col(score)) & X.finite(F.col("pnl"))).select(*by, "t", "seq", "w", "pnl", F.col(score).alias("score")), by, spec.bucket_us))
     sizes = known.groupBy(*by).agg(F.count("*").alias("n_all"))
     cuts = exact_quantiles(known, by, "score", [k * 0.99 / (n_candidates - 1) for k in range(n_candidates)], "cuts").withColumn("cuts", F.array_distinct("cuts"))
     fixed = F.broadcast(sizes.join(cuts, by))  # a row for each group

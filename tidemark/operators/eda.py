@@ -9,6 +9,7 @@ from tidemark.functions import exprs as X
 from tidemark.operators.asof import asof, asof_mid, at_offsets, mids_at
 from tidemark.operators.events import cascades, tagged
 from tidemark.operators.grid import spine
+from tidemark.operators.lineage import written
 from tidemark.operators.markout import weighted_mean
 from tidemark.operators.quantiles import quantile
 from tidemark.sources.feeds import Feeds
@@ -154,7 +155,7 @@ def _around(feeds: Feeds, all_: DataFrame, points: list[tuple[str, float, int, i
     from tidemark.operators.grid import BLOCK, flow_grid
 
     spec = feeds.spec
-    rows = all_.withColumn("id", F.concat_ws("/", "sym", F.col("cascade").cast("string"))).select("id", "sym", "cascade", "sgn", "m0", "begin_t")
+    rows = written(all_.withColumn("id", F.concat_ws("/", "sym", F.col("cascade").cast("string"))).select("id", "sym", "cascade", "sgn", "m0", "begin_t"))
     at = F.array(*[F.struct(F.lit(n).alias("point"), F.lit(spec.us(c)).cast("long").alias("d"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, c, lo, hi in points])
     tall = rows.withColumn("_p", F.explode(at)).select("id", "sym", "sgn", "m0", "begin_t", "_p.point", "_p.lo", "_p.hi", (F.col("begin_t") + F.col("_p.d")).alias("qt"))
     found = asof(tall, feeds.book, ["mid", "spread", "bid_amount", "ask_amount"], ["sym"], "qt", spec.bucket_us)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from tidemark.operators import grid as G
 from tidemark.operators import markout as M
 from tidemark.operators import ml as ML
 from tidemark.operators.asof import asof_mid, mids_at
+from tidemark.operators.lineage import written
 from tidemark.plans import oracle as O
 from tidemark.sources.feeds import Feeds, from_events, sample_trades
 from tidemark.spec import FIXTURE
@@ -47,7 +47,7 @@ def rule_rows(feeds: Feeds) -> DataFrame:
     """Trades with markouts, split, and the deterministic score: aligned liquidations of the delayed venue over the long window."""
     net = E.liquidation_windows(feeds, "bybit", (300,)).select("trade_id", F.col("net_300").alias("net"))
     rows = M.markouts(feeds).join(net, "trade_id").withColumn("score", F.col("s") * F.col("net"))
-    return rows.withColumn("split", X.split_label(F.col("t"), feeds.spec))
+    return written(rows.withColumn("split", X.split_label(F.col("t"), feeds.spec)))  # rules read their rows several times
 
 
 def _markout(tau: int):
@@ -69,14 +69,14 @@ def q_baselines(f: Feeds) -> DataFrame:
 def q_score_keepall(f: Feeds) -> DataFrame:
     rows = M.by_horizon(M.markouts(f), f.spec.taus).withColumn("f", F.lit(0))
     out = M.evaluate_filter(rows, ["sym", "tau"], f.spec)
-    return out.select("sym", "tau", *r("pnl_all", "pnl_kept", "score", "turnover_per_day", "frac_w", "frac_n"), "constraint_ok", "n", "n_days")
+    return out.select("sym", "tau", *r("pnl_all", "pnl_kept", "score", "frac_w", "frac_n"), *r("turnover_per_day", digits=2), "constraint_ok", "n", "n_days")
 
 
 @query(O.SCORE_RULE)
 def q_score_rule(f: Feeds) -> DataFrame:
     rows = M.by_horizon(rule_rows(f), f.spec.taus).withColumn("f", X.keep_below(F.col("score"), F.lit(0.0)))
     out = M.evaluate_filter(rows.drop("score"), ["sym", "split", "tau"], f.spec)
-    return out.select("sym", "split", "tau", *r("pnl_all", "pnl_kept", "pnl_filtered", "score", "turnover_per_day", "frac_w", "frac_n"), "constraint_ok", "n", "n_days")
+    return out.select("sym", "split", "tau", *r("pnl_all", "pnl_kept", "pnl_filtered", "score", "frac_w", "frac_n"), *r("turnover_per_day", digits=2), "constraint_ok", "n", "n_days")
 
 
 @query(O.SPLIT_COUNTS)
@@ -361,11 +361,7 @@ ORACLE_SQL |= {"q_stream_flow_grid": O.STREAM_FLOW_GRID, "q_stream_sessions": O.
 
 def _model(f: Feeds) -> tuple[DataFrame, ML.Model]:
     """The panel, and a boosted model of the markout at 30 s on all its features, fitted on the training split."""
-    rows = P.panel(f)
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and context.master.startswith("local["):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    rows = rows.checkpoint()  # hundreds of jobs read it, and its plan is large
+    rows = written(P.panel(f))  # hundreds of jobs read it, and its plan is large
     return rows, ML.fit(rows.where("split = 'train'"), P.feature_columns(rows), "pnl_30", "mse")
 
 

@@ -71,8 +71,8 @@ def _round(names: str, digits: int = 4) -> str:
     return ", ".join(f"{rd(n, digits)} as {n}" for n in names.split())
 
 
-SCORE_KEEPALL = _pnl() + f", tall as ({_tall('pnl', cols='sym, t, w, 0 as f')}), m as ({_metrics('sym, tau', 'tall')}) select sym, tau, {_round('pnl_all pnl_kept score turnover_per_day frac_w frac_n')}, constraint_ok, n, n_days from m"
-SCORE_RULE = _rule() + f", tall as ({_tall('rule', cols='sym, split, t, w, case when score < 0 then 1 else 0 end as f')}), m as ({_metrics('sym, split, tau', 'tall')}) select sym, split, tau, {_round('pnl_all pnl_kept pnl_filtered score turnover_per_day frac_w frac_n')}, constraint_ok, n, n_days from m"
+SCORE_KEEPALL = _pnl() + f", tall as ({_tall('pnl', cols='sym, t, w, 0 as f')}), m as ({_metrics('sym, tau', 'tall')}) select sym, tau, {_round('pnl_all pnl_kept score frac_w frac_n')}, {_round('turnover_per_day', 2)}, constraint_ok, n, n_days from m"
+SCORE_RULE = _rule() + f", tall as ({_tall('rule', cols='sym, split, t, w, case when score < 0 then 1 else 0 end as f')}), m as ({_metrics('sym, split, tau', 'tall')}) select sym, split, tau, {_round('pnl_all pnl_kept pnl_filtered score frac_w frac_n')}, {_round('turnover_per_day', 2)}, constraint_ok, n, n_days from m"
 SPLIT_COUNTS = FEEDS + f" select sym, {SPLIT} as split, count(*) as n, {rd('sum(w)')} as w from trades group by 1, 2"
 ASOF_MID = FEEDS + "," + _mid("m0", "trades", "trade_id", 0) + f" select trade_id, {rd('m', 6)} as mid from m0"
 BOOK_STATE = FEEDS + f""", f0 as (select sym, arg_min(spread, t) as spread, arg_min(bid_amount, t) as ba, arg_min(ask_amount, t) as aa from bbo group by sym),
