@@ -1,7 +1,7 @@
 """Language identification with error-correcting output codes.
 
 Each language has a codeword of ``BITS`` bits, more where there are too many languages for that. A text is a histogram of hashed character 1- to 3-grams over the whole,
-lower-cased text; for every bit a ridge-regularised logistic classifier, trained in numpy, predicts the side its language
+lower-cased text, read in pieces however long it is; for every bit a ridge-regularised logistic classifier, trained in numpy, predicts the side its language
 lies on. Decoding is loss-weighted: each codeword costs the sum of the logistic losses of its bits against the margins, bits
 counting by their training accuracy, and the cheapest wins. The score is the softmax of the negative cost; a text is
 ``ambiguous`` when the two best scores are close.
@@ -10,17 +10,17 @@ The classifier is fitted on about ``per_lang`` training documents of each langua
 of identifier and text; everything else covers all rows. Language, source and identifier are never inputs of a prediction.
 
 Nulls: a null text or one without a letter gets ``und`` and score 0, a document without a language is not trained on, and
-with no training rows at all every prediction is ``und``. Empty tables give no rows. Repeated rows are predicted each. Extra columns
+with no training rows at all every prediction is ``und``. Of codewords that cost the same the language first by name wins. Empty tables give no rows. Repeated rows are predicted each. Extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,8 @@ APART = 3
 PER_LANG = 400
 #: Two best scores nearer than this are ambiguous.
 MARGIN = 0.2
-_LETTER = re.compile(r"[^\W\d_]")
+#: Category L alone: numerals and fractions are no letters.
+_LETTER = regex.compile(r"\p{L}")
 #: Characters hashed at once, so that a very long text needs no more memory than a short one.
 _CHUNK = 1 << 18
 
