@@ -358,13 +358,67 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
         assert r["n_bytes"] - r["n_removed"] == len(r["kept"]) and r["n_spans"] == len([s for s in r["spans"].split(",") if s])
 
 
-def test_induced_sort_with_and_without_spilling():
-    rng = np.random.default_rng(0)
-    for trial in range(200):
-        t = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(1, 60)))
-        order = induced_sort.suffix_order(t, 128, budget=64 if trial % 2 else 1 << 20)
-        x = t.tolist()
-        assert order.tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "SUFFIX_SHARD", 2000)
+    rng = random.Random(14)
+    common = words(rng, 9)
+    assert suffix_dedup.GRAM < len(common) < suffix_dedup.LENGTH
+    rows = [(i, f"{words(rng, 30)} {words(random.Random(i % 7), 8)} {common} {words(random.Random(i % 5), 8)} {words(rng, 30)}", "en") for i in range(80)]
+    want = brute_removal(rows)
+    got = suffix_dedup.dedup(make(spark, rows)).collect()
+    assert all(bytes(r["kept"]) in [want[k] for k in want if k[1] == r["doc_id"]] for r in got) and sum(r["n_removed"] for r in got) > 500
+
+
+def shared(x, y):
+    n = 0
+    while n < min(len(x), len(y)) and x[n] == y[n]:
+        n += 1
+    return n
+
+
+def assert_sorted(text, depth, budget):
+    space = induced_sort.Space(budget)
+    got = [(int(a), int(b)) for s, v in induced_sort.suffixes(np.frombuffer(text, np.uint8), depth, space=space) for a, b in zip(s, v, strict=True)]
+    assert sorted(a for a, _ in got) == list(range(len(text) + 1))
+    for (a, _), (b, common) in zip(got, got[1:], strict=False):
+        x, y = text[a : a + depth], text[b : b + depth]
+        assert x >= y and shared(x, y) == common
+    return space.spilled
+
+
+@pytest.mark.parametrize("direct", [0, 60, 1 << 23])
+def test_induced_sort_gives_order_and_common_prefixes(monkeypatch, direct):
+    rng, spilled = random.Random(1), 0
+    monkeypatch.setattr(induced_sort, "DIRECT", direct)  # 0: recursion down to single names
+    for trial in range(250):
+        monkeypatch.setattr(induced_sort, "CHUNK", rng.choice([2, 3, 8, 1 << 16]))
+        monkeypatch.setattr(induced_sort, "RANGES", rng.choice([2, 4, 512]))
+        n, some = rng.randrange(0, 120), [bytes(rng.randrange(97, 101) for _ in range(rng.randrange(1, 6))) for _ in range(5)]
+        text = [bytes(rng.randrange(2) for _ in range(n)), bytes(rng.randrange(256) for _ in range(n)), b"ab" * (n // 2) + b"a" * rng.randrange(20), b" ".join(rng.choice(some) for _ in range(n // 3)), b"a" * n + bytes(rng.randrange(3) for _ in range(5))][trial % 5]
+        spilled += assert_sorted(text, rng.choice([1, 2, 3, 5, 10, 100, 200]), rng.choice([64, 1000, 1 << 20]))
+    assert spilled
+
+
+def test_induced_sort_of_a_shard_of_a_hundred_budgets(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(induced_sort, "CHUNK", 1 << 11)
+    rng = random.Random(3)
+    passages = [words(rng, 40).encode() for _ in range(20)]
+    text = b" ".join(words(rng, 5).encode() + b" " + rng.choice(passages) for _ in range(500))
+    budget = len(text) // 100
+    space = induced_sort.Space(budget)
+    tracemalloc.start()
+    seen = sum(len(places) for places, _ in induced_sort.suffixes(np.frombuffer(text, np.uint8), 100, space=space))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(text) + 1 and space.spilled > 50 * len(text)
+    assert peak < 6 * len(text) + 2_000_000, peak  # a tuple alone has 24 bytes
+
+
+def test_induced_sort_of_long_runs():
+    assert_sorted(b"a" * 3000 + b"b" * 3000 + b"ab" * 500, 100, 1 << 20)
 
 
 def test_suffix_dedup_on_odd_and_empty_tables(odd, none):

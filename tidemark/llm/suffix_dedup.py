@@ -9,17 +9,20 @@ window's bytes alone decide. Equal windows have equal anchors, so documents are
 one anchor, and:
 
 1. contexts are sent to shards by the anchor's hash. An anchor seen once has no repeated window. Of equal contexts only
-   the earliest can keep a byte. What is left are different contexts with one anchor;
-2. the bytes of those contexts are fetched, once for each distinct context, and every shard sorts their suffixes by induced
-   sorting (:mod:`.induced_sort`, disk-backed queues). Neighbours that share ``length`` bytes are one group, and of a group
-   all windows but the earliest are repeats;
+   the earliest can keep a byte; contexts are compared by 128 bits of hash. What is left are different contexts with one anchor;
+2. the bytes of those contexts are fetched, once for each distinct context, and every shard sorts their suffixes by external
+   induced sorting (:mod:`.induced_sort`), which gives each suffix the length of the prefix that it shares with its neighbour.
+   Neighbours that share ``length`` bytes are one group, and of a group all windows but the earliest are repeats. A shard
+   that exceeds ``BUDGET`` is sorted in files, so it may be far larger than memory;
 3. the covered ranges of each document are merged and cut out.
 
-Equality of windows, contexts and anchors is that of 64-bit hashes, two independent ones for contexts. A context that is frequent
-within a batch is resolved there, so that a passage in a third of all documents reaches its shard once for each batch.
+A context that is frequent within a batch is resolved there, so that a passage in a third of all documents reaches its shard once for
+each batch. An anchor with more than ``HOT`` different contexts is split: its windows are dealt by the anchor's place in them, ``STEP``
+places together, and by the bytes that all windows with such places share, so equal windows still meet and no shard holds them all.
 
 Nulls: a null text has no bytes; a null identifier ranks first. Documents with the same identifier rank by hash of
-text, and rows that repeat both are one document with the same result for each row. Empty tables give no rows; extra columns are ignored.
+text, and rows that repeat both are one document with the same result for each row. Very long texts are read in pieces. Of equal
+strings in one document the one that starts first stays. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,51 +36,53 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 from .hashing import every, mix, prefixes, ranges
-from .induced_sort import suffix_order
+from .induced_sort import CHUNK, MOST, Space, Tape, scattered, suffixes
 
 LENGTH, GRAM = 100, 32
 #: Bytes of corpus for each shard of contexts, and bytes of contexts for each shard of suffixes.
 CONTEXT_SHARD, SUFFIX_SHARD = 8 << 20, 2 << 20
 #: Bytes of text whose contexts are resolved together before they are sent.
 BATCH = 24 << 20
+#: Memory of a shard's sort, beyond which it works in files.
+BUDGET = 96 << 20
+#: Contexts of an anchor from which on it is split, and places of the anchor in a window that go together then.
+HOT, STEP = 4096, 10
 NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 28) - 1)
-_SCAN = 1 << 24  # windows scanned at once
-CONTEXT = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<u4"), ("n", "u1"), ("off", "u1")])
+_SCAN = 1 << 18  # windows scanned at once
+CONTEXT = np.dtype([("gram", "<u8"), ("context", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("lo", "<u4"), ("n", "u1"), ("off", "u1")])
 RANGE = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<u4"), ("end", "<u4")])
 
 
-def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Hash of anchor, hash of context, first window, windows, and offset of the anchor in the first window."""
-    windows = len(data) - length + 1
-    if windows <= 0:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
+def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """By pieces of a text: hash of the anchor, two of the context, first window, windows, and offset of the anchor in the first window."""
     width = length - gram + 1
-    prefix = prefixes(data)
-    grams = every(prefix, gram)
-    anchor = np.empty(windows, np.int64)
-    for at in range(0, windows, _SCAN):
-        part = grams[at : at + _SCAN + width - 1]
+    for at in range(0, len(data) - length + 1, _SCAN):
+        part = data[at : at + _SCAN + length - 1]
+        prefix = prefixes(part)
+        grams = every(prefix, gram)
         # The least hash of each window, the leftmost of equal ones: the place is below the hash's upper bits.
-        low, done = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64), 1
+        low, done = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), 1
         while 2 * done <= width:
             low = np.minimum(low[:-done], low[done:])
             done *= 2
         if done < width:
             low = np.minimum(low[: len(low) - (width - done)], low[width - done :])
-        anchor[at : at + len(low)] = at + (low & _PLACE).astype(np.int64)
-    lo = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    hi = np.append(lo[1:], windows)
-    place = anchor[lo]
-    return grams[place], mix(ranges(prefix, lo, hi - 1 + length) + (place - lo).astype(np.uint64)), lo, hi - lo, place - lo
+        anchor = (low & _PLACE).astype(np.int64)
+        lo = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        hi = np.append(lo[1:], len(anchor))
+        place = anchor[lo]
+        whole = ranges(prefix, lo, hi - 1 + length)
+        halves = ranges(prefix, lo, place) * np.uint64(0x9FB21C651E98DF25) ^ ranges(prefix, place, hi - 1 + length)
+        yield grams[place], mix(whole + (place - lo).astype(np.uint64)), mix(halves), lo + at, hi - lo, place - lo
 
 
 def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by context and rank, and for each the number of its context's first row."""
     if not len(rows):
         return rows, np.zeros(0, np.int64)
-    rows = rows[np.lexsort((rows["lo"], rows["key"], rows["doc"], rows["context"], rows["gram"]))]
-    new = np.concatenate([[True], (rows["gram"][1:] != rows["gram"][:-1]) | (rows["context"][1:] != rows["context"][:-1])])
+    rows = rows[np.lexsort((rows["lo"], rows["key"], rows["doc"], rows["other"], rows["context"], rows["gram"]))]
+    new = np.concatenate([[True], (rows["gram"][1:] != rows["gram"][:-1]) | (rows["context"][1:] != rows["context"][:-1]) | (rows["other"][1:] != rows["other"][:-1])])
     return rows, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
@@ -139,10 +144,10 @@ def _merge(spans: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-FOUND = "doc long, key long, start int, end int, gram long, off int"
+FOUND = "doc long, key long, start int, end int, gram long, off int, hot boolean"
 
 
-def _found(ranges_: np.ndarray, asked: np.ndarray | None = None) -> pa.RecordBatch:
+def _found(ranges_: np.ndarray, asked: np.ndarray | None = None, hot: np.ndarray | None = None) -> pa.RecordBatch:
     """Covered ranges (``off`` null), and contexts whose bytes are needed."""
     n, asked = len(ranges_), asked if asked is not None else np.empty(0, CONTEXT)
     nulls = np.concatenate([np.ones(n, bool), np.zeros(len(asked), bool)])
@@ -153,39 +158,88 @@ def _found(ranges_: np.ndarray, asked: np.ndarray | None = None) -> pa.RecordBat
         pa.array(np.concatenate([ranges_["end"], asked["lo"] + asked["n"]]).astype(np.int32), pa.int32()),
         pa.array(np.concatenate([np.zeros(n, np.int64), asked["gram"].astype(np.uint64).view(np.int64)]), pa.int64(), mask=nulls),
         pa.array(np.concatenate([np.zeros(n, np.int32), asked["off"].astype(np.int32)]), pa.int32(), mask=nulls),
+        pa.array(np.concatenate([np.zeros(n, bool), hot if hot is not None else np.zeros(len(asked), bool)]), pa.bool_()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc", "key", "start", "end", "gram", "off"])
-
-
-def _resolve(rows: list[tuple], length: int) -> np.ndarray:
-    """Covered ranges among contexts (gram, doc, key, lo, windows, off, bytes) of one shard, by their sorted suffixes."""
-    rows.sort(key=lambda r: (r[1], r[2], r[3]))
-    data = b"".join(r[6] for r in rows)
-    size = np.array([len(r[6]) for r in rows])
-    first = np.concatenate([[0], np.cumsum(size)])
-    windows = size - length + 1
-    entry = np.repeat(np.arange(len(rows)), size)
-    valid = np.arange(len(data)) - first[entry] < windows[entry]
-    symbols = np.frombuffer(data, np.uint8)
-    order = suffix_order(symbols, length)
-    order = order[valid[order]]
-    hashes = every(prefixes(data), length)
-    value = hashes[order]
-    group = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
-    # Rank of a window: its entry's rank, then its start. The data are in that order, so the least position is the earliest.
-    least = np.full(int(group[-1]) + 1 if len(group) else 0, len(data))
-    np.minimum.at(least, group, order)
-    repeat = np.zeros(len(data) + 1, bool)
-    repeat[order[order != least[group]]] = True
-    step = np.diff(np.concatenate([[0], (repeat[:-1] & valid).astype(np.int8), [0]]))
-    # Windows that are invalid lie between entries, so a run never crosses one.
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    out = np.empty(len(starts), RANGE)
-    at = entry[starts] if len(starts) else np.zeros(0, np.int64)
-    doc, key, lo = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-    out["doc"], out["key"] = doc[at], key[at]
-    out["start"], out["end"] = starts - first[at] + lo[at], ends - first[at] + lo[at] + length - 1
-    return out
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "key", "start", "end", "gram", "off", "hot"])
+
+
+def split(data: bytes, start: int, windows: int, off: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(hash of the shared bytes, first window, windows) of a hot context's parts: those with the anchor at places that go together."""
+    import xxhash
+
+    anchor = start + off
+    for first in range(0, off + 1, STEP):
+        lo, hi = max(start, anchor - first - STEP + 1), min(start + windows - 1, anchor - first)
+        if lo <= hi:
+            shared = data[anchor - first : anchor - first - STEP + 1 + length]
+            yield xxhash.xxh3_64_intdigest(shared, first) >> 1, lo, hi - lo + 1
+
+
+class Shard:
+    """The contexts of a shard, added in rank order, and the windows among them that repeat an earlier one."""
+
+    def __init__(self, length: int, budget: int):
+        self.length, self.space = length, Space(budget)
+        self.text, self.last = Tape(self.space, np.uint8), (None, None, None)
+        self.columns = {c: Tape(self.space, np.int64) for c in ("doc", "key", "lo", "size")}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Rows (doc, key, lo, part); a row repeated counts once."""
+        doc, key, lo = (batch.column(i).to_numpy() for i in range(3))
+        same = np.concatenate([[(doc[0], key[0], lo[0]) == self.last], (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (lo[1:] == lo[:-1])])
+        self.last = (doc[-1], key[-1], lo[-1])
+        if same.any():
+            batch = batch.filter(pa.array(~same))
+            doc, key, lo = doc[~same], key[~same], lo[~same]
+        part = batch.column(3)
+        ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+        if len(part):
+            self.text.append(np.frombuffer(part.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+            for c, x in (("doc", doc), ("key", key), ("lo", lo), ("size", np.diff(ends))):
+                self.columns[c].append(x)
+
+    def repeats(self) -> Iterator[np.ndarray]:
+        """Covered ranges, by the sorted suffixes. The data are in rank order, so the least place of a group is the earliest."""
+        text, size = self.text.read(), np.asarray(self.columns["size"].read())
+        if not len(text):
+            return
+        first, windows = np.concatenate([[0], np.cumsum(size)]), size - self.length + 1
+        repeat = scattered(self.space, len(text) + 1, np.bool_)
+        best, carried = -1, MOST
+        for places, common in suffixes(text, self.length, space=self.space):
+            entry = np.minimum(np.searchsorted(first, places, side="right") - 1, len(size) - 1)
+            at = np.flatnonzero(places - first[entry] < windows[entry])
+            if not len(at):
+                carried = min(carried, int(common.min()))
+                continue
+            least = np.minimum.reduceat(common[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))
+            least[0] = min(int(least[0]), carried)
+            carried = int(common[at[-1] + 1 :].min()) if at[-1] + 1 < len(common) else MOST
+            new = least < self.length
+            new[0] |= best < 0
+            place, heads = places[at], np.flatnonzero(np.concatenate([[True], new[1:]]))
+            low = np.minimum.reduceat(place, heads)
+            if not new[0]:  # the last piece's group goes on
+                repeat[max(best, low[0])] = True
+                low[0] = min(best, low[0])
+            group = np.cumsum(new) - new[0]
+            repeat[place[place != low[group]]] = True
+            best = int(low[-1])
+        doc, key, lo = (self.columns[c].read() for c in ("doc", "key", "lo"))
+        begun = -1
+        for a in range(0, len(repeat), CHUNK):
+            # Windows that are invalid lie between entries, so a run never crosses one.
+            step = np.diff(np.concatenate([[repeat[a - 1] if a else False], repeat[a : a + CHUNK]]).astype(np.int8))
+            starts, ends = a + np.flatnonzero(step == 1), a + np.flatnonzero(step == -1)
+            if begun >= 0:
+                starts = np.concatenate([[begun], starts])
+            begun = int(starts[-1]) if len(starts) > len(ends) else -1
+            starts = starts[: len(ends)]
+            entry = np.searchsorted(first, starts, side="right") - 1
+            out = np.empty(len(starts), RANGE)
+            out["doc"], out["key"] = doc[entry], key[entry]
+            out["start"], out["end"] = starts - first[entry] + lo[entry], ends - first[entry] + lo[entry] + self.length - 1
+            yield out
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -202,18 +256,18 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            sent = list(_send(np.concatenate(held), length, shards))
+            sent = list(_send(np.concatenate(held) if held else np.empty(0, CONTEXT), length, shards))
             columns = list(zip(*sent, strict=True)) if sent else [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["shard", "contexts", "ranges"])
 
         for batch in batches:
             for doc, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = value.as_py()
-                got = contexts(data, length, gram)
-                new = np.empty(len(got[0]), CONTEXT)
-                new["gram"], new["context"], new["lo"], new["n"], new["off"] = got
-                new["doc"], new["key"] = doc, key
-                held.append(new)
+                for got in contexts(data, length, gram):
+                    new = np.empty(len(got[0]), CONTEXT)
+                    new["gram"], new["context"], new["other"], new["lo"], new["n"], new["off"] = got
+                    new["doc"], new["key"] = doc, key
+                    held.append(new)
                 size += len(data)
                 if size > BATCH:
                     yield flush()
@@ -240,7 +294,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 twin = lead["gram"][1:] == lead["gram"][:-1]
                 several[1:] |= twin
                 several[:-1] |= twin
-            yield _found(np.concatenate([known, _covered(some[later], length)]), lead[several])
+            lead = lead[several]
+            _, anchor, count = np.unique(lead["gram"], return_inverse=True, return_counts=True)
+            yield _found(np.concatenate([known, _covered(some[later], length)]), lead, (count > HOT)[anchor] if len(lead) else None)
 
     sent = rows.mapInArrow(cut, "shard long, contexts binary, ranges binary")
     found = materialize(sent.repartition(max(least, shards // 4), "shard").sortWithinPartitions("shard").mapInArrow(match, FOUND), "ranges")
@@ -254,8 +310,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     # Texts are moved compressed, twice: to cut out contexts, and to cut out ranges.
     packed = rows.mapInArrow(squeeze, "doc long, key long, z binary")
-    asked = found.where("off is not null").groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end", "gram", "off")).alias("asked"))
-    need = found.where("off is not null").agg(F.sum(F.col("end") - F.col("start") + (length - 1))).first()[0] or 0
+    asked = found.where("off is not null").groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end", "gram", "off", "hot")).alias("asked"))
+    size = F.col("end") - F.col("start") + (length - 1)
+    need = found.where("off is not null").agg(F.sum(F.when(F.col("hot"), size * (length // STEP)).otherwise(size))).first()[0] or 0
     suffix_shards = max(least, need // SUFFIX_SHARD + 1)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,23 +320,36 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(5)]
             for doc, key, z, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = unzip.decompress(z)
                 for a in asked:
-                    part = data[a["start"] : a["end"] + length - 1]
-                    for c, v in zip(cols, (a["gram"] % suffix_shards, a["gram"], doc, key, a["start"], a["off"], part), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "gram", "doc", "key", "lo", "off", "part"])
+                    start, windows = a["start"], a["end"] - a["start"]
+                    parts = split(data, start, windows, a["off"], length) if a["hot"] else [(a["gram"], start, windows)]
+                    for h, lo, n in parts:
+                        for c, v in zip(cols, (h % suffix_shards, doc, key, lo, data[lo : lo + n + length - 1]), strict=True):
+                            c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "doc", "key", "lo", "part"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _by_shard(batches):
-            unique = {(doc, key, lo): (g, doc, key, lo, 0, off, part) for g, doc, key, lo, off, part in group}
-            yield _found(_resolve(list(unique.values()), length))
-
-    parts = packed.join(asked, ["doc", "key"]).select("doc", "key", "z", "asked").mapInArrow(fetch, "shard long, gram long, doc long, key long, lo int, off int, part binary")
-    more = parts.repartition(suffix_shards, "shard").sortWithinPartitions("shard").mapInArrow(resolve, FOUND)
+        number, shard = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if of[a] != number:
+                    if shard is not None:
+                        yield from map(_found, shard.repeats())
+                    number, shard = of[a], Shard(length, BUDGET)
+                shard.add(batch.slice(a, b - a).drop_columns(["shard"]))
+        if shard is not None:
+            yield from map(_found, shard.repeats())
+
+    parts = packed.join(asked, ["doc", "key"]).select("doc", "key", "z", "asked").mapInArrow(fetch, "shard long, doc long, key long, lo int, part binary")
+    more = parts.repartition(suffix_shards, "shard").sortWithinPartitions("shard", "doc", "key", "lo").mapInArrow(resolve, FOUND)
     gone = found.where("off is null").unionByName(more).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.string()), ("kept", pa.binary())])
 
