@@ -387,10 +387,10 @@ def assert_sorted(text, depth, budget):
     return space.spilled
 
 
-@pytest.mark.parametrize("direct", [0, 60, 1 << 23])
-def test_induced_sort_gives_order_and_common_prefixes(monkeypatch, direct):
+@pytest.mark.parametrize("room", [0, 64, 1 << 30])
+def test_induced_sort_gives_order_and_common_prefixes(monkeypatch, room):
     rng, spilled = random.Random(1), 0
-    monkeypatch.setattr(induced_sort, "DIRECT", direct)  # 0: recursion down to single names
+    monkeypatch.setattr(induced_sort, "ROOM", room)  # the last: recursion until one name covers the depth
     for trial in range(250):
         monkeypatch.setattr(induced_sort, "CHUNK", rng.choice([2, 3, 8, 1 << 16]))
         monkeypatch.setattr(induced_sort, "RANGES", rng.choice([2, 4, 512]))

@@ -8,7 +8,8 @@ the one before it back in, with a common prefix one longer than the least value
 To get the seeds in order, the same two inductions sort the LMS *substrings*; neighbours whose common prefix is their whole length are
 equal and get one name, and the string of names is sorted by recursion. Its common prefixes, counted in names, are turned into
 symbols by the places of the seeds and the common prefixes of the names. Values are cut off at ``depth``, so the recursion goes
-to half the depth at each level and ends where one name covers it.
+to half the depth at each level. It ends where one name covers the depth, or where the names fit in the budget: those are put in order
+at once.
 
 Every sequence that grows with the text lives on a tape, which is a file beyond its share of the memory budget, and the queue spills by
 range of keys. Files lie in the folders that Spark gives its executors for spilling; random reads go through the page cache.
@@ -26,8 +27,8 @@ import numpy as np
 #: Tuples handled at once, and ranges of keys that a queue is cut into: as few as serve a text of that many symbols, each
 #: range being put in order as a whole.
 CHUNK, RANGES = 1 << 16, 512
-#: The recursion ends at a string of names whose beginnings, to the depth asked for, are this many names together, if it fits in memory.
-DIRECT = 1 << 23
+#: The recursion ends at a string of names for which the budget has this many bytes a name.
+ROOM = 64
 #: Common prefixes are kept in a byte.
 MOST = 255
 
@@ -418,7 +419,7 @@ def _directly(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _descending(space: Space, text: np.ndarray, symbols: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Suffixes of a text with a sentinel, in descending order of their first ``depth`` symbols, and common prefixes up to it."""
-    if depth <= 1 or len(text) * depth <= DIRECT and len(text) * 64 <= space.budget:
+    if depth <= 1 or text.dtype != np.uint16 and len(text) * ROOM <= space.budget:
         yield _directly(np.asarray(text).astype(np.int64), depth)
         return
     if len(text) < 2:
