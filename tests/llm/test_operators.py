@@ -360,6 +360,7 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
 
 def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
     monkeypatch.setattr(suffix_dedup, "SUFFIX_SHARD", 2000)
     rng = random.Random(14)
     common = words(rng, 9)

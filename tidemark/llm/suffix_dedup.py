@@ -17,8 +17,9 @@ one anchor, and:
 3. the covered ranges of each document are merged and cut out.
 
 A context that is frequent within a batch is resolved there, so that a passage in a third of all documents reaches its shard once for
-each batch. An anchor with more than ``HOT`` different contexts is split: its windows are dealt by the anchor's place in them, ``STEP``
-places together, and by the bytes that all windows with such places share, so equal windows still meet and no shard holds them all.
+each batch. An anchor with very many contexts is split: its windows are dealt by the anchor's place in them, ``STEP`` places together,
+and by the bytes that all windows with such places share, so equal windows still meet and no shard holds them all. Which anchors are split
+changes no result, so they are those with ``HOT`` contexts or more in every ``SAMPLE``-th document, ``MOST_HOT`` of them at most.
 
 Nulls: a null text has no bytes; a null identifier ranks first. Documents with the same identifier rank by hash of
 text, and rows that repeat both are one document with the same result for each row. Very long texts are read in pieces. Of equal
@@ -45,8 +46,9 @@ CONTEXT_SHARD, SUFFIX_SHARD = 8 << 20, 2 << 20
 BATCH = 24 << 20
 #: Memory of a shard's sort, beyond which it works in files.
 BUDGET = 96 << 20
-#: Contexts of an anchor from which on it is split, and places of the anchor in a window that go together then.
-HOT, STEP = 4096, 10
+#: Contexts of an anchor, in every so many documents, from which on it is split, and places of the anchor in a window that go together.
+HOT, SAMPLE, STEP = 64, 64, 10
+MOST_HOT = 1 << 20
 NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 28) - 1)
 _SCAN = 1 << 18  # windows scanned at once
@@ -144,11 +146,11 @@ def _merge(spans: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-FOUND = "doc long, key long, start int, end int, gram long, off int, hot boolean"
+FOUND = "doc long, key long, start int, end int, gram long"
 
 
-def _found(ranges_: np.ndarray, asked: np.ndarray | None = None, hot: np.ndarray | None = None) -> pa.RecordBatch:
-    """Covered ranges (``off`` null), and contexts whose bytes are needed."""
+def _found(ranges_: np.ndarray, asked: np.ndarray | None = None) -> pa.RecordBatch:
+    """Covered ranges (``gram`` null), and contexts whose bytes are needed."""
     n, asked = len(ranges_), asked if asked is not None else np.empty(0, CONTEXT)
     nulls = np.concatenate([np.ones(n, bool), np.zeros(len(asked), bool)])
     columns = [
@@ -157,22 +159,37 @@ def _found(ranges_: np.ndarray, asked: np.ndarray | None = None, hot: np.ndarray
         pa.array(np.concatenate([ranges_["start"], asked["lo"]]).astype(np.int32), pa.int32()),
         pa.array(np.concatenate([ranges_["end"], asked["lo"] + asked["n"]]).astype(np.int32), pa.int32()),
         pa.array(np.concatenate([np.zeros(n, np.int64), asked["gram"].astype(np.uint64).view(np.int64)]), pa.int64(), mask=nulls),
-        pa.array(np.concatenate([np.zeros(n, np.int32), asked["off"].astype(np.int32)]), pa.int32(), mask=nulls),
-        pa.array(np.concatenate([np.zeros(n, bool), hot if hot is not None else np.zeros(len(asked), bool)]), pa.bool_()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc", "key", "start", "end", "gram", "off", "hot"])
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "key", "start", "end", "gram"])
 
 
-def split(data: bytes, start: int, windows: int, off: int, length: int) -> Iterator[tuple[int, int, int]]:
-    """(hash of the shared bytes, first window, windows) of a hot context's parts: those with the anchor at places that go together."""
+def split(data: bytes, rows: np.ndarray, length: int) -> np.ndarray:
+    """The contexts of hot anchors in parts: windows with the anchor at places that go together, under a hash of the bytes they share."""
     import xxhash
 
-    anchor = start + off
-    for first in range(0, off + 1, STEP):
-        lo, hi = max(start, anchor - first - STEP + 1), min(start + windows - 1, anchor - first)
-        if lo <= hi:
-            shared = data[anchor - first : anchor - first - STEP + 1 + length]
-            yield xxhash.xxh3_64_intdigest(shared, first) >> 1, lo, hi - lo + 1
+    out = []
+    for doc, key, start, windows, off in zip(*(rows[c].tolist() for c in ("doc", "key", "lo", "n", "off")), strict=True):
+        anchor = start + off
+        for first in range(0, off + 1, STEP):
+            lo, hi = max(start, anchor - first - STEP + 1), min(start + windows - 1, anchor - first)
+            if lo <= hi:
+                shared, whole = data[anchor - first : anchor - first - STEP + 1 + length], data[lo : hi + length]
+                out.append((xxhash.xxh3_64_intdigest(shared, first), xxhash.xxh3_64_intdigest(whole, first), xxhash.xxh3_64_intdigest(whole, first + 1000), doc, key, lo, hi - lo + 1, anchor - lo))
+    return np.array(out, CONTEXT)
+
+
+def _hot(rows: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Hashes of the anchors to be split, sorted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors = [got[0] for value in batch.column(0) for got in contexts(value.as_py(), length, gram)]
+            value, n = np.unique(np.concatenate(anchors), return_counts=True) if anchors else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n, pa.int64())], names=["gram", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(SAMPLE)) == 0).select("data")
+    frequent = some.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    return np.sort(np.array([r["gram"] for r in frequent.orderBy(F.desc("n")).limit(MOST_HOT).collect()], np.int64).view(np.uint64))
 
 
 class Shard:
@@ -252,6 +269,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(4 * least, total // CONTEXT_SHARD + 1)
 
+    hot = spark.sparkContext.broadcast(_hot(rows, length, gram))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -267,6 +286,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                     new = np.empty(len(got[0]), CONTEXT)
                     new["gram"], new["context"], new["other"], new["lo"], new["n"], new["off"] = got
                     new["doc"], new["key"] = doc, key
+                    if len(hot.value) and len(new):
+                        often = hot.value[np.minimum(np.searchsorted(hot.value, new["gram"]), len(hot.value) - 1)] == new["gram"]
+                        if often.any():
+                            new = np.concatenate([new[~often], split(data, new[often], length)])
                     held.append(new)
                 size += len(data)
                 if size > BATCH:
@@ -294,9 +317,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 twin = lead["gram"][1:] == lead["gram"][:-1]
                 several[1:] |= twin
                 several[:-1] |= twin
-            lead = lead[several]
-            _, anchor, count = np.unique(lead["gram"], return_inverse=True, return_counts=True)
-            yield _found(np.concatenate([known, _covered(some[later], length)]), lead, (count > HOT)[anchor] if len(lead) else None)
+            yield _found(np.concatenate([known, _covered(some[later], length)]), lead[several])
 
     sent = rows.mapInArrow(cut, "shard long, contexts binary, ranges binary")
     found = materialize(sent.repartition(max(least, shards // 4), "shard").sortWithinPartitions("shard").mapInArrow(match, FOUND), "ranges")
@@ -310,9 +331,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     # Texts are moved compressed, twice: to cut out contexts, and to cut out ranges.
     packed = rows.mapInArrow(squeeze, "doc long, key long, z binary")
-    asked = found.where("off is not null").groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end", "gram", "off", "hot")).alias("asked"))
-    size = F.col("end") - F.col("start") + (length - 1)
-    need = found.where("off is not null").agg(F.sum(F.when(F.col("hot"), size * (length // STEP)).otherwise(size))).first()[0] or 0
+    asked = found.where("gram is not null").groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end", "gram")).alias("asked"))
+    need = found.where("gram is not null").agg(F.sum(F.col("end") - F.col("start") + (length - 1))).first()[0] or 0
     suffix_shards = max(least, need // SUFFIX_SHARD + 1)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,11 +344,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             for doc, key, z, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = unzip.decompress(z)
                 for a in asked:
-                    start, windows = a["start"], a["end"] - a["start"]
-                    parts = split(data, start, windows, a["off"], length) if a["hot"] else [(a["gram"], start, windows)]
-                    for h, lo, n in parts:
-                        for c, v in zip(cols, (h % suffix_shards, doc, key, lo, data[lo : lo + n + length - 1]), strict=True):
-                            c.append(v)
+                    for c, v in zip(cols, (a["gram"] % suffix_shards, doc, key, a["start"], data[a["start"] : a["end"] + length - 1]), strict=True):
+                        c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "doc", "key", "lo", "part"])
 
@@ -350,7 +367,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     parts = packed.join(asked, ["doc", "key"]).select("doc", "key", "z", "asked").mapInArrow(fetch, "shard long, doc long, key long, lo int, part binary")
     more = parts.repartition(suffix_shards, "shard").sortWithinPartitions("shard", "doc", "key", "lo").mapInArrow(resolve, FOUND)
-    gone = found.where("off is null").unionByName(more).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    gone = found.where("gram is null").unionByName(more).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.string()), ("kept", pa.binary())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
