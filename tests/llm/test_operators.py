@@ -588,6 +588,28 @@ def test_grammar_marks():
     assert g.evidence("idiot! you all").tolist() == [3, 0, 0, 0, 0]
 
 
+def test_grammar_takes_the_heaviest_of_all_paths():
+    """Every path through the machines one after the other, against the composed machine."""
+    rng = random.Random(41)
+    g = toxicity.Grammar({"zonk": 2.0, "blork": 0.5})
+    vocab = ["zonk", "blorky", "kill", "you", "never", "said", "word", "tree"]
+
+    def paths(machine, symbols):
+        found = [(machine.start, [], 0.0)]
+        for x in symbols:
+            found = [(q, [*out, y], w + u) for s, out, w in found for q, y, u in machine.arcs(s, x)]
+        return [(out, w) for s, out, w in found if machine.accepts(s)]
+
+    for _ in range(400):
+        text = [rng.choice(vocab) for _ in range(rng.randrange(0, 9))]
+        read = [g.read(x) for x in text]
+        ends = [(marks, u + v + w) for one, u in paths(toxicity.negation(), [k for k, _ in read]) for two, v in paths(toxicity.report(), one) for marks, w in paths(toxicity.aim(), two)]
+        weights = [w + sum(x for m, (_, x) in zip(marks, read, strict=True) if m is not None) for marks, w in ends]
+        got = g.clause(text)
+        best = [np.bincount([m for m in marks if m is not None], [x for m, (_, x) in zip(marks, read, strict=True) if m is not None], len(toxicity.MARKS)).tolist() for (marks, _), w in zip(ends, weights, strict=True) if w >= max(weights) - 1e-9]
+        assert any(got == pytest.approx(b) for b in best)
+
+
 def test_toxicity_held_out_accuracy(spark, odd, none, no_labels):
     rng = random.Random(29)
     rows = [(i, words(rng, 40) + (" you blorkface " if i % 3 == 0 else " ") + words(rng, 30), "en") for i in range(400)]

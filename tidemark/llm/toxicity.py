@@ -1,11 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read as classes: insult, threat, target, negation, reported speech, other. Five small transducers run over a
-clause, each marking what it knows (an insult is aimed at a target near it, negated, or reported; a threat meets
-a target); their composition is one deterministic transducer, built once by the product construction. A clause's weight
-is what its marked path carries: the lexical weights of its insults, kept apart by mark. A document's score is a logistic
-function of the summed clause weights, so negated or quoted insults count as the labels say they do, and words
-outside a matched clause count nothing.
+A cascade of weighted transducers reads a clause, each the marks that the one before writes:
+
+1. the lexicon turns words into classes (insult, threat, target, negation, reported speech, other); the arc of an insult or a
+   threat weighs its log odds;
+2. negation turns insults and threats within its scope into negated ones;
+3. reported speech turns those after it into quoted ones;
+4. aim joins insults and threats with targets. A target may come afterwards, so the machine guesses: a path that has promised one
+   and does not meet it in time is no path.
+
+The machines are composed into one by matching what one writes with what the next reads, and the heaviest path of a clause counts
+(sums along a path, the maximum over paths). A clause's evidence is the lexical weight that its path carries, kept apart by mark. A document's
+score is a logistic function of the summed evidence, with weights for each mark learned from labels, so negated or quoted insults count
+as the labels say they do, and words outside a matched clause count nothing.
 
 The insult lexicon is learned from labelled rows outside the held-out fold: word beginnings that mark toxic documents with
 high precision and beyond chance, each as long as it can be without losing support; the weights are their log odds. One half of
@@ -13,6 +20,9 @@ a sample of about ``sample`` toxic rows and ``CLEAN_RATIO`` times as many others
 logistic weights; a small sample gives both. Labels, language,
 source and identifier are never inputs of a score.
 
+A word that begins with a threat is one, at the weight that the labels give it, if they give it one. Of paths of equal weight the one
+that promises nothing counts. Clauses are read as streams, however long.
+
 Nulls: a null text is empty, and an empty text gets the score of no evidence. Rows with a null label are not learned from;
 without usable labels nothing is toxic. Repeated rows are scored each; empty tables give no rows; extra columns are ignored.
 """
@@ -48,58 +58,98 @@ THREATS = ["kill", "hurt", "murder", "destroy", "attack", "stab", "shoot", "stra
 NEAR = 3  # words between an insult or threat and its target
 SCOPE = 3  # words that a negation reaches
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+# What the lexicon writes, and what the machines after it write besides.
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, NEGATED_INSULT, NEGATED_THREAT, QUOTED_INSULT, QUOTED_THREAT = range(10)
+CLASSES = 6
 MARKS = ("plain", "aimed", "negated", "reported", "threat")
+PLAIN, AIMED, NEGATED, REPORTED, THREATENED = range(len(MARKS))
+#: What a path gains with a mark, beside the lexical weight.
+GAIN = {PLAIN: 0.0, AIMED: 1.0, NEGATED: -1.0, REPORTED: -1.0, THREATENED: 1.0}
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE_END = re.compile(r"[.!?;:|\n]")
 _CLASS = dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(THREATS, THREAT)
 
 
 class Transducer:
-    """A deterministic transducer: ``step(state, word class) -> (state, mark or None)``, with a start state."""
+    """A weighted transducer with one symbol out for each one in: ``arcs(state, symbol)`` gives (next state, written symbol, weight)."""
+
+    def __init__(self, start, arcs, accepts=lambda state: True):
+        self.start, self.arcs, self.accepts = start, arcs, accepts
+
+    def __matmul__(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one writes; weights add."""
+
+        def arcs(state, symbol):
+            return [((p, q), out, u + v) for p, between, u in self.arcs(state[0], symbol) for q, out, v in other.arcs(state[1], between)]
+
+        return Transducer((self.start, other.start), arcs, lambda s: self.accepts(s[0]) and other.accepts(s[1]))
+
+    def compile(self, symbols: int) -> tuple[list[list[list[tuple]]], list[bool]]:
+        """Arcs of the reachable states, by state and symbol, with states as numbers from 0; and which states accept."""
+        number, todo, table = {self.start: 0}, [self.start], []
+        while len(table) < len(todo):
+            row = []
+            for symbol in range(symbols):
+                found = []
+                for state, out, weight in self.arcs(todo[len(table)], symbol):
+                    if state not in number:
+                        number[state] = len(todo)
+                        todo.append(state)
+                    found.append((number[state], out, weight))
+                row.append(found)
+            table.append(row)
+        return table, [self.accepts(s) for s in todo]
 
-    def __init__(self, start, step):
-        self.start, self.step = start, step
 
-    def __mul__(self, other: Transducer) -> Transducer:
-        """The composition over the same input: states are pairs, marks are joined."""
+def negation() -> Transducer:
+    """Its state is the number of words that the last negation still reaches."""
+    negated = {INSULT: NEGATED_INSULT, THREAT: NEGATED_THREAT}
 
-        def step(state, word):
-            a, x = self.step(state[0], word)
-            b, y = other.step(state[1], word)
-            return (a, b), (x or ()) + (y or ())
+    def arcs(left, word):
+        out = OTHER if word == NEGATION else negated.get(word, word) if left else word
+        return [(SCOPE if word == NEGATION else max(0, left - 1), out, 0.0)]
 
-        return Transducer((self.start, other.start), step)
+    return Transducer(0, arcs)
 
-    def compile(self) -> tuple[list[list[int]], list[list[tuple]]]:
-        """Tables of the reachable part: next state and marks by state and class."""
-        number, todo, to, marks = {self.start: 0}, [self.start], [], []
-        while len(to) < len(todo):
-            row, out = [], []
-            for word in range(6):
-                state, mark = self.step(todo[len(to)], word)
-                if state not in number:
-                    number[state] = len(todo)
-                    todo.append(state)
-                row.append(number[state])
-                out.append(tuple(mark or ()))
-            to.append(row)
-            marks.append(out)
-        return to, marks
 
+def report() -> Transducer:
+    """Its state is whether a clause has turned to what somebody said."""
+    quoted = {INSULT: QUOTED_INSULT, THREAT: QUOTED_THREAT, NEGATED_INSULT: QUOTED_INSULT, NEGATED_THREAT: QUOTED_THREAT}
+    return Transducer(0, lambda said, word: [(int(said or word == REPORT), OTHER if word == REPORT else quoted.get(word, word) if said else word, 0.0)])
 
-def _since(word_class: int, reach: int, seen: int, mark: str) -> Transducer:
-    """Marks a word of class ``seen`` that comes within ``reach`` words after one of ``word_class``."""
-    return Transducer(reach, lambda s, w: (0 if w == word_class else min(reach, s + 1), (mark,) if w == seen and s < reach else None))
+
+def aim() -> Transducer:
+    """Its state is (words that the last target still reaches, words within which a promised target must come; 0: none).
+
+    Writes a mark, or None for a word without one.
+    """
+
+    def arcs(state, word):
+        reach, due = state
+        if word == TARGET:
+            return [((NEAR, 0), None, 0.0)]
+        if due == 1:
+            return []  # the promise is broken
+        after = (max(0, reach - 1), max(0, due - 1))
+        promise = (after[0], min(NEAR, after[1] or NEAR))
+        if word in (NEGATED_INSULT, QUOTED_INSULT):
+            mark = NEGATED if word == NEGATED_INSULT else REPORTED
+            return [(after, mark, GAIN[mark])]
+        if word not in (INSULT, THREAT):
+            return [(after, None, 0.0)]
+        near, far = (AIMED, PLAIN) if word == INSULT else (THREATENED, None)
+        if reach:
+            return [(after, near, GAIN[near])]
+        return [(after, far, GAIN.get(far, 0.0)), (promise, near, GAIN[near])]
+
+    return Transducer((0, 0), arcs, lambda state: not state[1])
 
 
 def grammar() -> Transducer:
-    insult = Transducer(0, lambda s, w: (0, ("insult",) if w == INSULT else None))
-    target = _since(TARGET, NEAR, INSULT, "aimed") * _since(INSULT, NEAR, TARGET, "aims back")
-    threat = _since(TARGET, NEAR, THREAT, "threat") * _since(THREAT, NEAR, TARGET, "threat")
-    negation = _since(NEGATION, SCOPE, INSULT, "negated") * _since(NEGATION, SCOPE, THREAT, "negated threat")
-    report = Transducer(0, lambda s, w: (1 if s or w == REPORT else 0, ("reported",) if s and w in (INSULT, THREAT) else None))
-    return insult * target * threat * negation * report
+    return negation() @ report() @ aim()
+
+
+_THREATS = frozenset(THREATS)
 
 
 class Grammar:
@@ -107,7 +157,7 @@ class Grammar:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.to, self.marks = grammar().compile()
+        self.arcs, self.accepts = grammar().compile(CLASSES)
         self.longest = max(map(len, lexicon), default=0)
         self.shortest = min(map(len, lexicon), default=0)
         self.automaton = None
@@ -122,33 +172,32 @@ class Grammar:
             self.automaton.make_automaton()
         return self.automaton
 
-    def _weight(self, word: str) -> float | None:
+    def read(self, word: str) -> tuple[int, float]:
+        """The lexicon's arc for a word: its class and weight."""
         for n in range(self.shortest, min(self.longest, len(word)) + 1):
             if (w := self.lexicon.get(word[:n])) is not None:
-                return w
-        return None
+                return THREAT if word in _THREATS else INSULT, w
+        kind = _CLASS.get(word, OTHER)
+        return kind, 1.0 if kind == THREAT else 0.0
 
     def clause(self, words: Iterable[str]) -> np.ndarray:
-        """The weights of a clause by mark."""
-        out, state = np.zeros(len(MARKS)), 0
-        last = 0.0
-        last_mark = -1
+        """The evidence of a clause's heaviest path by mark. Of each state only the heaviest way there goes on."""
+        none = (0.0,) * len(MARKS)
+        ways = {0: (0.0, none)}
         for word in words:
-            weight = self._weight(word)
-            kind = INSULT if weight is not None else _CLASS.get(word, OTHER)
-            marks = self.marks[state][kind]
-            state = self.to[state][kind]
-            if "insult" in marks:
-                last_mark = 3 if "reported" in marks else 2 if "negated" in marks else 1 if "aimed" in marks else 0
-                last = weight
-                out[last_mark] += weight
-            if "aims back" in marks and last_mark == 0:  # a target after the insult turns it into an aimed one
-                out[0] -= last
-                out[1] += last
-                last_mark = 1
-            if "threat" in marks and "negated threat" not in marks and "reported" not in marks:
-                out[4] += 1
-        return out
+            kind, lexical = self.read(word)
+            new: dict[int, tuple] = {}
+            for state, (total, found) in ways.items():
+                for to, mark, gain in self.arcs[state][kind]:
+                    if mark is None:
+                        weight, marked = total + gain, found
+                    else:
+                        weight = total + gain + lexical
+                        marked = (*found[:mark], found[mark] + lexical, *found[mark + 1 :])
+                    if to not in new or weight > new[to][0]:
+                        new[to] = (weight, marked)
+            ways = new
+        return np.array(max((way for state, way in ways.items() if self.accepts[state]), key=lambda way: way[0])[1])
 
     def evidence(self, text: str) -> np.ndarray:
         """Clause weights of the whole text; clauses without an insult or threat weigh nothing and are passed over."""
