@@ -9,7 +9,9 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm import decontam, induced_sort, jaccard_join, langid, packing, pii, quality_rules, sstable, substring_dedup, suffix_dedup, tokens, toxicity
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, decontam, induced_sort, jaccard_join, langid, packing, pii, quality_rules, sstable, substring_dedup, suffix_dedup, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, spans string, digest string, gone string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -637,3 +639,12 @@ def test_toxicity_of_long_clauses_counts_each_insult_once():
 def test_a_text_without_a_letter_is_undetermined(spark, text):
     docs = make(spark, [(i, f"wort {i}", "de") for i in range(1, 30)] + [(1000, text, "de")])
     assert {r["lang_pred"] for r in langid.identify(docs).where("doc_id = 1000").collect()} == {"und"}
+
+
+def test_spread_join_deals_heavy_and_missing_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 3)
+    left = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 40 + [2] * 3 + [3] + [None] * 20 + [9])], "k long, v long")
+    right = left.where("k in (1, 2, 3)").groupBy("k").count().withColumnRenamed("count", "n").withColumn("x", F.col("k") * 10)
+    for how, rows in (("inner", 44), ("left", 65)):
+        got = common.spread_join(left, right, "k", "n", left.count(), how).collect()
+        assert len(got) == rows and all(r["x"] == (None if r["k"] in (None, 9) else r["k"] * 10) for r in got) and len({r["v"] for r in got}) == rows

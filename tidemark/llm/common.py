@@ -36,6 +36,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``materialize`` that no plan needs any more."""
+    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: A key is heavy with more rows than this, and than the PARTS-th part of all rows, so there are fewer than PARTS heavy keys.
+HEAVY, PARTS = 512, 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, number: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``key`` and in ``number`` about how many rows of ``left`` have it.
+
+    Heavy keys are dealt in parts, each with its copy of the row of ``right``; rows of ``left`` without a key are dealt too.
+    """
+    most = max(HEAVY, total // PARTS)
+    parts = F.ceil(F.col(number) / most).cast("int")
+    heavy = F.broadcast(right.where(F.col(number) > most).select(key, parts.alias("_parts")))  # fewer than PARTS rows
+    row = F.xxhash64(*[left[c] for c in left.columns])
+    salt = F.pmod("_row", F.when(F.col(key).isNull(), PARTS).otherwise(F.coalesce("_parts", F.lit(1)))).cast("int")
+    dealt = left.withColumn("_row", row).join(heavy, key, "left").withColumn("_salt", salt).drop("_row", "_parts")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(number) > most, parts).otherwise(1) - 1)))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -12,7 +12,11 @@
 
 At similarity 0.8 a pair shares no band with probability 2e-6, and is pruned wrongly with one of the order of ``tolerance``.
 
-Nulls: null and blank texts have no shingle, so they stand alone. Repeated rows and texts with the same words are copies, linked to
+A band, cluster, class or copied text that a third of all rows have is dealt in parts wherever rows meet it. Texts of clusters are
+found by hashes of their rows, through a bit map of bounded size, so other texts are not moved.
+
+Very long texts are hashed whole; a text with more shingles than a block makes a block alone. Of equal classes the smallest identifier names
+one, and of rows with equal words any row's text serves. Nulls: null and blank texts have no shingle, so they stand alone. Repeated rows and texts with the same words are copies, linked to
 each other. A null identifier takes part; class identifiers are the smallest non-null ones. Empty tables give no rows; extra
 columns are ignored.
 """
@@ -26,10 +30,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, spread_join, text_of
 from .components import components
 from .hashing import mix, prefixes, ranges
 from .tokens import forget
@@ -41,6 +45,8 @@ STEP = 20
 #: Members of a bucket compared in one task with as many others, and shingles of a block of a cluster.
 BUCKET_BLOCK = 1024
 CLUSTER_BLOCK = 250_000
+#: Bits of the map of wanted rows: 262,144 words of it are broadcast at most.
+BITS = 1 << 24
 _A = (np.random.default_rng(9).integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = np.random.default_rng(10).integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 
@@ -160,7 +166,7 @@ def survivors(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
 
     banded = reps.select("digest", "sig").mapInArrow(bands, "digest binary, bands array<long>").select("digest", F.explode("bands").alias("band"))
     counts = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    met = materialize(banded.join(counts, "band"), "buckets")
+    met = materialize(spread_join(banded, counts, "band", "size", BANDS * reps.count()), "buckets")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,29 +231,29 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def _some(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``k1`` may be wanted: a bit map of BITS hashed keys, which is all that is broadcast."""
+    place = F.pmod(F.xxhash64("k1"), F.lit(BITS))
+    word, bit = F.shiftright(place, 6).alias("_word"), F.pmod(place, F.lit(64)).cast("int")
+    bits = wanted.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    kept = rows.withColumns({"_word": F.shiftright(place, 6), "_bit": bit}).join(F.broadcast(bits), "_word")
+    return kept.where(F.getbit("_bits", F.col("_bit")) == 1).drop("_word", "_bit", "_bits")
+
+
 def _joined(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """The columns of ``join``, the hashes of the row, and ``class_key`` (null for texts without words)."""
     table = materialize(sketch(docs), "sketch")
-    classes = table.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("copy_id"), F.count("*").alias("members"))
+    classes = table.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("copy_id"), F.count("*").alias("members"), F.min(F.struct("k1", "k2")).alias("row"))
     reps = materialize(classes, "classes")
     clusters = components(survivors(reps, threshold, tolerance))
 
-    # Blocks of a cluster by running number of shingles, over rows without texts.
-    order = Window.partitionBy("root").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
-    placed = clusters.select(F.col("node").alias("digest"), "root").join(reps.select("digest", "n", "members", "copy_id"), "digest")
-    placed = placed.withColumn("block", F.floor(F.coalesce(F.sum(F.col("n").cast("long")).over(order), F.lit(0)) / CLUSTER_BLOCK).cast("int"))
-    totals = placed.groupBy("root").agg((F.max("block") + 1).alias("total"))
-    wanted = placed.join(totals, "root").select("copy_id", "digest", "root", "members", "block", "total")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    fetched = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["copy_id"])).select("digest", "root", "members", "block", "total", "text")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # an identifier may be repeated with other texts
-            own = [digest(words_of(t)) == d for d, t in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(own, pa.bool_()))
-
-    fetched = fetched.mapInArrow(exact, fetched.schema)
-    blocks = _blocked(fetched.withColumnRenamed("block", "own"), "root", F.col("own"), F.col("total"))
+    # Blocks of a cluster hold about CLUSTER_BLOCK shingles each; texts are dealt to them by hash.
+    n_reps = reps.count()
+    placed = clusters.select(F.col("node").alias("digest"), "root").join(reps.select("digest", "n", "members", "row"), "digest")
+    totals = placed.groupBy("root").agg(F.ceil(F.sum(F.col("n").cast("long")) / CLUSTER_BLOCK).cast("int").alias("total"), F.count("*").alias("texts"))
+    wanted = spread_join(placed, totals, "root", "texts", n_reps).select("digest", "root", "members", F.pmod(F.xxhash64("digest"), F.col("total").cast("long")).cast("int").alias("own"), "total", "row.k1", "row.k2")
+    fetched = _some(docs.select(*_row_keys(docs), text_of(docs).alias("text")), wanted).join(wanted, ["k1", "k2"])
+    blocks = _blocked(fetched.select("root", "own", "total", "digest", "members", "text"), "root", F.col("own"), F.col("total"))
     blocks = blocks.select("root", "i", "j", "block", "digest", "members", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,11 +285,11 @@ def _joined(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     links = verified.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     roots = components(verified.select("a", "b")).select(F.col("node").alias("digest"), "root")
     named = reps.select("digest", "copy_id", "members").join(links, "digest", "left").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    first = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    info = named.join(first, "root").select("digest", F.col("root").alias("class_key"), "class_id", "copy_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
+    first = named.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("texts"))
+    info = spread_join(named, first, "root", "texts", n_reps).select("digest", F.col("root").alias("class_key"), "class_id", "copy_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
     own = table.select("doc_id", "k1", "k2", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
     alone = F.col("digest").isNull()
-    return own.join(info, "digest", "left").select(
+    return spread_join(own, info, "digest", "members", table.count(), "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
