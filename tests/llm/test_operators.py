@@ -467,6 +467,44 @@ def test_line_dedup_removes_torn_passages_to_the_word(spark):
     assert len(got[4]["text"].split()) == 50
 
 
+def brute_lines(rows, line_words, passage_words):
+    """Removed characters by document: every unit against all earlier ones, run by run."""
+    first, gone = {}, {}
+    for i, text, _ in sorted(rows):
+        found, gone[i] = list(substring_dedup.units(text, line_words)), np.zeros(len(text), bool)
+        at = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        w = text.lower().split()
+        found += [("p" + " ".join(w[k : k + passage_words]), at[k][0], at[k + passage_words - 1][1]) for k in range(len(w) - passage_words + 1)]
+        for u, a, b in found:
+            j, _, e = first.setdefault(u, (i, a, b))
+            if (j, a, b) != (i, *first[u][1:]) or first[u] != (i, a, b):
+                gone[i][max(a, e) if j == i else a : b] = True
+    return gone
+
+
+def test_line_dedup_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_UNITS", 40)
+    rng = random.Random(31)
+    some = [words(rng, rng.randrange(12, 40), 9000) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        parts = [words(rng, rng.randrange(2, 30), 9000), rng.choice(some), rng.choice(some), " ".join([words(rng, 11, 9000)] * rng.randrange(1, 12)), rng.choice(some)[rng.randrange(30) :]]
+        rows.append((i, "".join(x + rng.choice([" ", "\n", "\n\n", " ", " "]) for x in rng.sample(parts, rng.randrange(1, 6))), "en"))
+    rows += [(60 + k, rows[7 * k][1] + " " + rows[k][1], "en") for k in range(8)]
+    want = brute_lines(rows, 15, 20)
+    for r in substring_dedup.dedup(make(spark, rows), passage_words=20).collect():
+        assert r["n_removed"] == want[r["doc_id"]].sum(), r["doc_id"]
+        assert r["text"] == "".join(c for c, g in zip(rows[r["doc_id"]][1], want[r["doc_id"]], strict=True) if not g)
+
+
+def test_line_dedup_paragraphs_and_short_lines(spark):
+    rng = random.Random(37)
+    block = "\n".join(words(rng, 6, 9000) for _ in range(4))
+    rows = [(i, f"{words(rng, 20)}\n\n{block}\n\nRead more here today.\n{words(rng, 20)}", "en") for i in (1, 2)]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(make(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and block not in got[2] and "Read more here" in got[2]
+
+
 def test_line_dedup_stretches_cover_every_run():
     text = words(random.Random(3), 4000, 9000)
     w, whole = text.split(), list(substring_dedup.stretches(text))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .jaccard_join import SHINGLE, THRESHOLD
 from .quality_rules import MIN_WORDS, REPEAT_PERCENT, RULES, STRATA
-from .substring_dedup import LINE_WORDS, SENTENCE_WORDS
+from .substring_dedup import LINE_WORDS, PASSAGE_WORDS
 
 _BLANK = r"'[\x20\x09-\x0D]+'"
 _TRIM = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13)"
@@ -38,11 +38,16 @@ LINE_DEDUP = f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 l0 as (select doc_id, length(t) as n, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as k from d),
 l as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as bol, list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda x: x <> '') as w from l0),
-s0 as (select doc_id, k, bol, unnest(regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+')) as part, generate_subscripts(regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+'), 1) as j from l where len(w) >= {SENTENCE_WORDS}),
-s as (select *, bol + coalesce(sum(length(part)) over (partition by doc_id, k order by j rows between unbounded preceding and 1 preceding), 0)::bigint as a, list_filter(regexp_split_to_array(lower(part), '\\s+'), lambda x: x <> '') as w from s0),
-u as (select 'l' || array_to_string(w, ' ') as u, doc_id, bol as a, least(bol + length(line) + 1, n) as b from l where len(w) >= {LINE_WORDS}
-    union all select 's' || array_to_string(w, ' '), doc_id, a, a + length(part) from s where len(w) >= {SENTENCE_WORDS}),
-g as (select doc_id, a, b from (select *, row_number() over (partition by u order by doc_id, a) as r from u) where r > 1),
+bl as (select *, sum(case when len(w) = 0 then 1 else 0 end) over (partition by doc_id order by k) as block from l),
+q as (select 'q' || string_agg(array_to_string(w, ' '), ' ' order by k) as u, doc_id, min(bol) as a, max(least(bol + length(line) + 1, n)) as b from bl where len(w) > 0 group by doc_id, block having count(*) > 1 and sum(len(w)) >= {LINE_WORDS}),
+p0 as (select doc_id, regexp_extract_all(t, '\\s*\\S+') as p from d),
+p1 as (select doc_id, list_transform(p, lambda x: lower(regexp_replace(x, '^\\s+', ''))) as w, list_transform(p, lambda x: length(regexp_replace(x, '^\\s+', ''))) as wl, list_transform(p, lambda x: length(x)) as pl from p0 where len(p) >= {PASSAGE_WORDS}),
+p2 as (select doc_id, w, wl, unnest(range(1, len(w) + 1)) as i, unnest(pl) as one from p1),
+p3 as (select doc_id, w, i, wl[i] as wl, sum(one) over (partition by doc_id order by i)::bigint as e from p2),
+p4 as (select 'p' || array_to_string(w[i:i + {PASSAGE_WORDS - 1}], ' ') as u, doc_id, e - wl as a, lead(e, {PASSAGE_WORDS - 1}) over (partition by doc_id order by i) as b from p3),
+u as (select 'l' || array_to_string(w, ' ') as u, doc_id, bol as a, least(bol + length(line) + 1, n) as b from l where len(w) >= {LINE_WORDS} union all select * from q union all select * from p4 where b is not null),
+r as (select *, row_number() over o as r, first_value(doc_id) over o as d1, first_value(b) over o as b1 from u window o as (partition by u order by doc_id, a)),
+g as (select doc_id, case when d1 = doc_id then greatest(a, b1) else a end as a, b from r where r > 1 and (d1 <> doc_id or b > b1)),
 m as (select *, max(b) over (partition by doc_id order by a, b rows between unbounded preceding and 1 preceding) as before from g),
 i as (select *, sum(case when before is null or a > before then 1 else 0 end) over (partition by doc_id order by a, b rows unbounded preceding) as island from m),
 x as (select doc_id, min(a) as a, max(b) as b from i group by doc_id, island),

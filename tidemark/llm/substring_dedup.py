@@ -1,28 +1,28 @@
-"""Repeated passages, by hashing lines, the sentences in them, and runs of words across both.
+"""Repeated passages, by hashing lines, paragraphs, and runs of words across both.
 
-Units are lines, within lines sentences, and every ``passage_words`` words in a row, wherever these begin; a unit is
-normalised (lower case, single spaces) and hashed with 128 bits. Of all
+Units are lines, paragraphs (lines in a row without a blank one between, two at least), and every ``passage_words`` words in a row,
+wherever these begin; a unit is normalised (lower case, single spaces) and hashed with 128 bits. Of all
 units with one digest, over all documents, the earliest ranked (identifier, hash of text, offset) stays and the others go.
-Lines count from ``line_words`` words on and sentences from ``sentence_words`` on, so that short phrases stay. Removed ranges are given
+Lines and paragraphs count from ``line_words`` words on: shorter ones are phrases that clean documents share. Removed ranges are given
 in code points of the original text; a removed line takes its line feed along. What a document repeats of itself goes only beyond
 the end of the earliest.
 
 Runs of words are many, so neighbours go as one where they can: the least hash of ``GRAM`` words in a run marks it (winnowing),
 equal runs have equal marks, and the runs in a row with one mark make a stretch, which is one unit. Only where one mark
-has different stretches, as at the ends of a torn passage, the first of each is hashed run by run as well.
+has different stretches, as at the ends of a torn passage, or a stretch overlaps an equal one, as in text that repeats itself without
+end, they are hashed run by run as well: the first of each, and those that overlap. What goes is the same as if all runs were.
 
 A digest may belong to any share of all units, so each Arrow batch first resolves its own: of a batch's units with
 one digest only the earliest goes on, and the others are known to be repeats. A frequent line thus reaches its group once
 for each batch.
 
-Nulls: a null text is empty. Rows with the same identifier and text rank equal and keep or lose the same ranges; rows
+Very long texts are hashed whole, some units at a time. Nulls: a null text is empty. Rows with the same identifier and text rank equal and keep or lose the same ranges; rows
 with the same identifier and other texts are ranked by hash of text. A null identifier ranks first. Empty tables give no rows;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,8 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-LINE_WORDS = 3
-SENTENCE_WORDS = 8
+LINE_WORDS = 15
 PASSAGE_WORDS = 50
 #: Words of a mark, and the runs whose marks are found at once.
 GRAM = 8
@@ -44,21 +43,21 @@ _PIECE = 1 << 16
 _UNITS = 100_000
 #: By code point, whether it parts words; the last entry stands for all beyond.
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
-
-
-def units(text: str, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> Iterator[tuple[str, int, int]]:
-    """(normalised unit with its kind, start, end) of every line and sentence that counts."""
-    at = 0
-    for line in text.split("\n"):
-        words = line.lower().split()
-        if len(words) >= line_words:
-            yield "l" + " ".join(words), at, min(at + len(line) + 1, len(text))
-        if len(words) >= sentence_words:
-            for m in _SENTENCE.finditer(line):
-                words = m.group().lower().split()
-                if len(words) >= sentence_words:
-                    yield "s" + " ".join(words), at + m.start(), at + m.end()
+
+
+def units(text: str, line_words: int = LINE_WORDS) -> Iterator[tuple[str, int, int]]:
+    """(normalised unit with its kind, start, end) of every line and paragraph that counts."""
+    at, block = 0, []
+    for line in [*text.split("\n"), ""]:
+        words, end = line.lower().split(), min(at + len(line) + 1, len(text))
+        if words:
+            block.append((words, at, end))
+            if len(words) >= line_words:
+                yield "l" + " ".join(words), at, end
+        else:
+            if len(block) > 1 and sum(len(w) for w, _, _ in block) >= line_words:
+                yield "q" + " ".join(w for ws, _, _ in block for w in ws), block[0][1], block[-1][2]
+            block = []
         at += len(line) + 1
 
 
@@ -122,7 +121,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, line_words: int = LINE_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """``doc_id, n_chars, n_removed, n_spans, spans, text``: each document without its repeated units."""
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -143,15 +142,18 @@ def dedup(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = S
                 if same:
                     continue
                 text = batch.column(2)[i].as_py()
-                found = passages(text, batch.column(3)[i].as_py(), passage_words) if batch.num_columns > 3 else chain(units(text, line_words, sentence_words), stretches(text, passage_words))
+                found = passages(text, batch.column(3)[i].as_py(), passage_words) if batch.num_columns > 3 else chain(units(text, line_words), stretches(text, passage_words))
                 for unit, start, end, *mark in found:
                     digest = xxhash.xxh3_128_digest(unit)
-                    first = seen.setdefault(digest, (i, start, end))
-                    repeat = first != (i, start, end)
-                    if repeat and first[0] == i:  # the document's own: the earliest stays whole
+                    first = seen.setdefault(digest, (i, start, end, len(cols[0])))
+                    repeat = first != (i, start, end, len(cols[0]))
+                    laps = bool(mark) and repeat and first[0] == i and start < first[2]
+                    if laps:  # it and the first are read run by run
+                        cols[3][first[3]] = True
+                    elif repeat and first[0] == i:  # the document's own: the earliest stays whole
                         start = max(start, first[2])
                     h, g = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-                    torn = False
+                    torn = laps
                     if mark:
                         h = mark[0]
                         if not repeat and (torn := (row := marks.setdefault(h, len(cols[0]))) != len(cols[0])):
@@ -167,27 +169,29 @@ def dedup(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = S
 
     place = [F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "start"]
 
+    after = F.struct(*place) > F.struct(*[f"first.{c}" for c in ("known", "doc_id", "key", "start")])
+    own = ~F.col("alone") & F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))
+    laps = F.col("whole") & own & after & (F.col("start") < F.col("first.end"))
+
     def grouped(found: DataFrame) -> DataFrame:
         """With the first of each digest, and whether its mark has other stretches."""
         mark, digest = Window.partitionBy("h", "alone"), Window.partitionBy("h", "alone", "g")
-        torn = F.max("torn").over(mark) | (F.min("g").over(mark) < F.max("g").over(mark))
-        return found.withColumn("torn", torn).withColumn("first", F.min(F.struct(*place, "end")).over(digest))
-
-    after = F.struct(*place) > F.struct(*[f"first.{c}" for c in ("known", "doc_id", "key", "start")])
+        rows = found.withColumn("first", F.min(F.struct(*place, "end")).over(digest)).withColumn("laps", laps)
+        torn = F.max("torn").over(mark) | F.max("laps").over(mark) | (F.min("g").over(mark) < F.max("g").over(mark))
+        return rows.withColumn("torn", torn)
 
     def later(found: DataFrame) -> DataFrame:
-        own = ~F.col("alone") & F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))
         start = F.when(own, F.greatest("start", "first.end")).otherwise(F.col("start"))
-        return found.where(F.when(F.col("alone"), ~F.col("torn")).otherwise(after)).select("doc_id", "key", start.alias("start"), "end").where("start < end")
+        return found.where(F.when(F.col("alone"), ~F.col("torn")).otherwise(after & ~F.col("laps"))).select("doc_id", "key", start.alias("start"), "end").where("start < end")
 
     def of(other: DataFrame) -> Column:
         return rows["doc_id"].eqNullSafe(other["doc_id"]) & (rows["key"] == other["key"])
 
     ranges = F.collect_list(F.struct("start", "end"))  # a document's own
     schema = "h long, g long, alone boolean, torn boolean, doc_id long, key long, start long, end long"
-    whole = grouped(rows.mapInArrow(digests, schema))
-    torn = whole.where(F.when(F.col("alone"), F.col("torn")).otherwise(F.col("torn") & ~after)).groupBy("doc_id", "key").agg(ranges.alias("torn"))
-    runs = grouped(rows.join(torn, of(torn)).select(rows["doc_id"], rows["key"], "text", torn["torn"]).mapInArrow(digests, schema))
+    whole = grouped(rows.mapInArrow(digests, schema).withColumn("whole", F.lit(True)))
+    torn = whole.where(F.when(F.col("alone"), F.col("torn")).otherwise(F.col("torn") & ~after | F.col("laps"))).groupBy("doc_id", "key").agg(ranges.alias("torn"))
+    runs = grouped(rows.join(torn, of(torn)).select(rows["doc_id"], rows["key"], "text", torn["torn"]).mapInArrow(digests, schema).withColumn("whole", F.lit(False)))
     gone = later(whole).unionByName(later(runs)).groupBy("doc_id", "key").agg(ranges.alias("gone"))
     joined = rows.join(gone, of(gone), "left").select(rows["doc_id"], "text", F.col("gone.start").alias("starts"), F.col("gone.end").alias("ends"))
 
