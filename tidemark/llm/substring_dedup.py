@@ -171,14 +171,18 @@ def dedup(docs: DataFrame, line_words: int = LINE_WORDS, passage_words: int = PA
 
     after = F.struct(*place) > F.struct(*[f"first.{c}" for c in ("known", "doc_id", "key", "start")])
     own = ~F.col("alone") & F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))
-    laps = F.col("whole") & own & after & (F.col("start") < F.col("first.end"))
+    laps = own & after & (F.col("start") < F.col("first.end"))
 
     def grouped(found: DataFrame) -> DataFrame:
-        """With the first of each digest, and whether its mark has other stretches."""
-        mark, digest = Window.partitionBy("h", "alone"), Window.partitionBy("h", "alone", "g")
-        rows = found.withColumn("first", F.min(F.struct(*place, "end")).over(digest)).withColumn("laps", laps)
-        torn = F.max("torn").over(mark) | F.max("laps").over(mark) | (F.min("g").over(mark) < F.max("g").over(mark))
-        return rows.withColumn("torn", torn)
+        """With the first of each digest. Dealt by mark, which serves digests too, and is their order's beginning."""
+        digest = Window.partitionBy("h", "alone", "g")
+        return found.repartition("h", "alone").withColumn("first", F.min(F.struct(*place, "end")).over(digest))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        """With whether the mark has other stretches or overlapping ones."""
+        mark = Window.partitionBy("h", "alone")
+        rows = rows.withColumn("laps", laps)
+        return rows.withColumn("torn", F.max(F.col("torn") | F.col("laps")).over(mark) | (F.min("g").over(mark) < F.max("g").over(mark)))
 
     def later(found: DataFrame) -> DataFrame:
         start = F.when(own, F.greatest("start", "first.end")).otherwise(F.col("start"))
@@ -189,9 +193,9 @@ def dedup(docs: DataFrame, line_words: int = LINE_WORDS, passage_words: int = PA
 
     ranges = F.collect_list(F.struct("start", "end"))  # a document's own
     schema = "h long, g long, alone boolean, torn boolean, doc_id long, key long, start long, end long"
-    whole = grouped(rows.mapInArrow(digests, schema).withColumn("whole", F.lit(True)))
+    whole = marked(grouped(rows.mapInArrow(digests, schema)))
     torn = whole.where(F.when(F.col("alone"), F.col("torn")).otherwise(F.col("torn") & ~after | F.col("laps"))).groupBy("doc_id", "key").agg(ranges.alias("torn"))
-    runs = grouped(rows.join(torn, of(torn)).select(rows["doc_id"], rows["key"], "text", torn["torn"]).mapInArrow(digests, schema).withColumn("whole", F.lit(False)))
+    runs = grouped(rows.join(torn, of(torn)).select(rows["doc_id"], rows["key"], "text", torn["torn"]).mapInArrow(digests, schema)).withColumn("laps", F.lit(False))
     gone = later(whole).unionByName(later(runs)).groupBy("doc_id", "key").agg(ranges.alias("gone"))
     joined = rows.join(gone, of(gone), "left").select(rows["doc_id"], "text", F.col("gone.start").alias("starts"), F.col("gone.end").alias("ends"))
 
