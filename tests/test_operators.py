@@ -15,10 +15,13 @@ from tidemark.operators import grid as G
 from tidemark.operators import markout as M
 from tidemark.operators import ml as ML
 from tidemark.operators import quantiles as Q
+from tidemark.operators import study as ST
 from tidemark.operators import walkforward as W
 from tidemark.operators.asof import asof_mid, windowed
+from tidemark import __main__ as cli
 from tidemark.plans import catalogue
 from tidemark.sources.feeds import Catalog, Feeds, from_catalog, validate_sorted
+from tidemark.streaming import streams as S
 from tidemark.spec import DAY_US, Spec, midnight
 
 US = 1_000_000
@@ -324,3 +327,102 @@ def test_model_queries_take_all_features_rounds_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "from_events", lambda *a: None)
     catalogue.QUERIES["q_importance"](spark, "")
     assert seen == {"features": ["obi", "rskew_30"], "options": {}, "repeats": 3}
+
+
+def small_panel(spark, n=1200):
+    """Two symbols over half a year, with markouts that one feature explains."""
+    h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2001)) / 1000.0 - 1
+    first, end = SPEC.windows[0][1], SPEC.windows[-1][2]
+    rows = spark.range(n).select(F.col("id").alias("trade_id"), F.when(F.col("id") % 2 == 0, "btc").otherwise("eth").alias("sym"), (F.lit(first) + F.col("id") * ((end - first) // n)).alias("t"), F.col("id").alias("seq"), F.lit(1e5).alias("w"), F.lit(100.0).alias("price"), h(1).alias("a"), h(2).alias("b"))
+    rows = rows.withColumns({f"pnl_{tau}": F.col("a") * 3 + 0.1 for tau in SPEC.taus} | {"split": X.split_label(F.col("t"), SPEC), "day": X.day(F.col("t"))})
+    return rows
+
+
+def test_walk_forward_runs_models_by_symbol(spark):
+    panel, spec = small_panel(spark), Spec(turnover_min_per_day=1.0)
+    folds = W.walk_forward_folds(spec.windows[0][1], spec.windows[-1][2], spec, 2)
+    sets = ST.spec_sets(["a", "b"], spec, iterations=3, min_leaf=5, depth=2)
+    assert set(sets) == {"baseline", "regime", "objective", "features", "shipped"} and len(sets["regime"]) == 4
+    got = ST.evaluate_specs(panel, {"baseline_mse": sets["baseline"]["baseline_mse"], "quantile_50": sets["objective"]["quantile_50"]}, (30,), folds, spec).collect()
+    assert {(r["sym"], r["spec"], r["fold"]) for r in got} == {(s, n, m) for s in ("btc", "eth") for n in ("baseline_mse", "quantile_50") for m in ("2026-03", "2026-04")}
+    assert all(r["score"] > 0.3 for r in got)
+    assert A.summarize(ST.evaluate_specs(panel, {"x": sets["baseline"]["baseline_mse"]}, (30,), folds, spec), ["sym"]).count() == 2
+
+
+def test_models_by_cell_are_stored_and_read(spark, tmp_path):
+    panel = small_panel(spark).where("sym = 'eth'")
+    for tau, kind in ((120, "quantile"), (30, "mae")):
+        model = ST.fit_cell(panel, ["a", "b"], "eth", tau, iterations=3, min_leaf=5, depth=2)
+        assert model.kind == kind
+        model.threshold = 0.25
+        ML.save(model, spark, f"{tmp_path}/{tau}")
+        back, cut = ML.load(spark, f"{tmp_path}/{tau}")
+        one, two = (ML.predict(m, panel, "p").agg(F.sum("p"), F.min("p")).first() for m in (model, back))
+        assert cut == 0.25 and tuple(one) == pytest.approx(tuple(two))
+    assert ML.load(spark, f"{tmp_path}/none") == (None, None)
+    with pytest.raises(ValueError):
+        ST.fit_cell(panel, ["a"], "eth", 30, models={("eth", 30): {"kind": "oracle"}})
+
+
+def test_feature_selection(spark):
+    panel, spec = small_panel(spark), Spec(turnover_min_per_day=1.0)
+    options = {"iterations": 3, "min_leaf": 5, "depth": 2}
+    fit_block, held, importance, cluster = ST.importance_of(panel, ["a", "b"], 30, "btc", spec, repeats=1, **options)
+    last, first = fit_block.agg(F.max("t")).first()[0], held.agg(F.min("t")).first()[0]
+    assert first - last >= spec.embargo_us and 0.15 < held.count() / (held.count() + fit_block.count()) < 0.25
+    assert importance["a"] > importance["b"] and len(set(cluster.values())) == 2
+    assert ST.select(importance, cluster, 1) == ["a"] and ST.select(importance, {"a": 0, "b": 0}, 2) == ["a"]
+    sweep = ST.sweep_n(fit_block, held, importance, cluster, "btc", 30, spec, (1, 2, 40), **options)
+    assert [r["n_selected"] for r in sweep.orderBy("n_selected").collect()] == [1, 2] and A.pick_n(sweep).first()["n_selected"] == 1
+    ranks = spark.createDataFrame([("btc", 30, "a", 0, 0.5)], "sym string, tau int, feature string, rank int, importance double")
+    got = {(r["sym"], r["feature"]): r for r in ST.explain_cell(panel, ["a", "b"], 30, ranks, ["a"]).collect()}
+    assert got["btc", "a"]["sign"] == 1 and got["btc", "a"]["survived"] == got["btc", "a"]["months"] and got["btc", "a"]["rank"] == 0
+    assert got["eth", "b"]["rank"] == -1 and not got["eth", "b"]["curated"]
+
+
+def test_mutual_information_and_samples(spark):
+    panel = small_panel(spark)
+    mi = {c: {r["sym"]: r["mi"] for r in ST.mutual_information(panel, ["sym"], c, "pnl_30").collect()} for c in ("a", "b")}
+    assert mi["a"]["btc"] == pytest.approx(math.log(10), abs=0.01) and mi["b"]["btc"] < 0.2
+    some = [r["trade_id"] for r in ST.seeded_sample(panel, "trade_id", 9, 3).collect()]
+    assert len(set(some)) == 9 and some == [r["trade_id"] for r in ST.seeded_sample(panel.repartition(5), "trade_id", 9, 3).collect()]
+    profile = spark.createDataFrame([("x", -2.0, 2.0), ("x", -1.0, 4.0), ("x", 0.0, 6.0)], "k string, o double, y double")
+    assert [r["y"] for r in ST.pre_normalised(profile, ["k"], "o", "y").orderBy("o").collect()] == pytest.approx([2 / 3, 4 / 3, 2])
+
+
+def test_time_units_and_symbols(spark):
+    assert [W.time_unit(1_762_000_000 * 10**k) for k in (0, 3, 6, 9)] == ["seconds", "milliseconds", "microseconds", "nanoseconds"] and W.time_unit(5) is None
+    frame = lambda ticker, price: spark.createDataFrame([(ticker, price)], "ticker string, price double")
+    assert W.infer_symbol(frame("ETHUSDT", 1e5)) == "eth" and W.infer_symbol(frame(None, 9e4)) == "btc" and W.infer_symbol(frame(None, 3e3)) == "eth"
+    assert W.infer_symbol(frame(None, 1.0).limit(0)) is None and W.infer_symbol(frame(None, 9e4), frame("eth", 1.0)) == "eth"
+
+
+def test_signal_on_raw_frames(spark):
+    deal = spark.createDataFrame([(1_762_000_000_000 + 1000 * i, "buy", 3000.0 + i, 1.0) for i in range(6)], "timestamp long, side string, price double, amount double")
+    bbo = spark.createDataFrame([(1_762_000_000_000 + 500 * i, 2999.5, 1.0, 3000.5, 2.0) for i in range(12)], "timestamp long, bid_price double, bid_amount double, ask_price double, ask_amount double")
+    got = W.signal_frames(deal, bbo, deal.limit(2), deal.limit(1), SPEC).collect()
+    assert len(got) == 6 and all(r["f_30"] == r["f_300"] == 0 for r in got)
+    got = W.signal_frames(deal, bbo, deal, deal, SPEC, symbol="eth", filter_fn=lambda f, tau: f.trades.select("trade_id", (F.col("price") > 3002).cast("int").alias("f"))).collect()
+    assert sum(r["f_120"] for r in got) == 3
+
+
+def test_stream_carries_the_last_mid(spark, tmp_path):
+    rows = [("x", 10 * US, 1, 100.0, True), ("x", 11 * US, 2, None, False), ("x", 12 * US, 3, 101.0, True), ("x", 12 * US, 4, None, False), ("y", 11 * US, 5, None, False), ("x", 9 * US, 6, None, False)]
+    late = [(s, 4000 * US, 9, 1.0, True) for s in "xy"]
+    schema = "sym string, t long, seq long, mid double, is_quote boolean"
+    for k, part in enumerate((rows, late, [(s, 8000 * US, 10, 1.0, True) for s in "xy"])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        S.to_files(S.asof_mid(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {r["seq"]: r["mid"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {2: 100.0, 4: 101.0, 5: None, 6: None}
+
+
+def test_command_lines(spark, tmp_path):
+    write_feeds(spark, tmp_path / "data")
+    run = lambda *a: cli.main([*a, "--data-dir", f"{tmp_path}/data", "--out", f"{tmp_path}/out", "--rows", "100"], spark)
+    for command in ("baselines", "flowgrid", "panel", "evaluate", "eda"):
+        run(command)
+    read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")
+    assert read("panel").count() == 8 and read("evaluation").count() == 6 and read("eda_inventory").agg(F.sum("n")).first()[0] == 2 * 2 * (2 + 1 + 1 + 3)
+    with pytest.raises(SystemExit):
+        run("nonsense")

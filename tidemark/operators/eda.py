@@ -12,7 +12,7 @@ from tidemark.operators.grid import spine
 from tidemark.operators.lineage import written
 from tidemark.operators.markout import weighted_mean
 from tidemark.operators.quantiles import quantile
-from tidemark.sources.feeds import Feeds
+from tidemark.sources.feeds import Feeds, validate_sorted
 
 
 def _ohlc(x: str, prefix: str = "") -> list:
@@ -57,9 +57,10 @@ def missing_minutes(feeds: Feeds) -> DataFrame:
 
 
 def anomalies(rows: DataFrame, by: list[str], key: list[str]) -> DataFrame:
-    """Rows, equal times, exact duplicates over ``key``."""
+    """Rows, equal times, exact duplicates over ``key``, and backward steps of time in the order of the feed."""
     each = rows.groupBy(*by, "t").agg(F.count("*").alias("c"), F.count_distinct(*key).alias("d"))
-    return each.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("c") - 1).alias("collisions"), F.sum(F.col("c") - F.col("d")).alias("duplicates"))
+    found = each.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("c") - 1).alias("collisions"), F.sum(F.col("c") - F.col("d")).alias("duplicates"))
+    return found.join(validate_sorted(rows, by=tuple(by)), by)
 
 
 def daily_from_bars(bars: DataFrame) -> DataFrame:
@@ -124,14 +125,15 @@ def impact_by_size(feeds: Feeds, edges: tuple[float, ...], offsets_s: tuple[int,
     return tall.groupBy("size", F.regexp_extract("offset", "[0-9]+", 0).cast("int").alias("offset")).agg(F.count("move").alias("n"), F.avg("move").alias("mean")).where(F.col("n") >= least)
 
 
-def trade_impact(feeds: Feeds, trades: DataFrame, offsets_s: tuple[int, ...]) -> DataFrame:
+def trade_impact(feeds: Feeds, trades: DataFrame, offsets_s: tuple[float, ...]) -> DataFrame:
     """Signed move of the mid around trades against that at the trade, by symbol, side and offset."""
     spec = feeds.spec
-    mids = mids_at(trades, "trade_id", feeds.book, spec, {"m0": 0} | {f"o{o}": spec.us(o) for o in offsets_s})
+    mids = mids_at(trades, "trade_id", feeds.book, spec, {"m0": 0} | {f"o{i}": spec.us(o) for i, o in enumerate(offsets_s)})
     rows = trades.select("trade_id", "sym", "side", "s").join(mids, "trade_id")
-    tall = rows.unpivot(["sym", "side", "s", "m0"], [f"o{o}" for o in offsets_s], "offset", "m")
+    tall = rows.unpivot(["sym", "side", "s", "m0"], [f"o{i}" for i in range(len(offsets_s))], "name", "m")
     move = F.col("s") * (F.col("m") - F.col("m0")) / F.col("m0") * 1e4
-    return tall.withColumn("move", move).groupBy("sym", "side", F.regexp_extract("offset", "-?[0-9]+", 0).cast("int").alias("offset")).agg(F.count("move").alias("n"), F.avg("move").alias("mean"))
+    offset = F.get(F.array(*[F.lit(float(o)) for o in offsets_s]), F.substring("name", 2, 9).cast("int"))
+    return tall.withColumns({"move": move, "offset": offset}).groupBy("sym", "side", "offset").agg(F.count("move").alias("n"), F.avg("move").alias("mean"))
 
 
 # Phases of a cascade, as window and centre in seconds from its begin.

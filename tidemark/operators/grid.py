@@ -16,7 +16,7 @@ HALO = 320
 def flow_grid(feeds: Feeds) -> DataFrame:
     """``sym, sec`` with signed volume, volume and number of trades of each second that has any."""
     sec = X.second(F.col("t"), feeds.spec)
-    return feeds.trades.groupBy("sym", sec.alias("sec")).agg(F.sum(F.col("s") * F.col("amount")).alias("signed_vol"), F.sum("amount").alias("tot_vol"), F.count("*").cast("int").alias("cnt"))
+    return (feeds.trades if feeds.tape is None else feeds.tape).groupBy("sym", sec.alias("sec")).agg(F.sum(F.col("s") * F.col("amount")).alias("signed_vol"), F.sum("amount").alias("tot_vol"), F.count("*").cast("int").alias("cnt"))
 
 
 def spine(ends: DataFrame, first: str, last: str) -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import exprs as X
 from tidemark.operators import ml
 from tidemark.operators.analysis import threshold_cv
+from tidemark.operators.lineage import written
 from tidemark.operators.markout import evaluate_filter
+from tidemark.operators.quantiles import quantile
+from tidemark.sources import feeds as sources
 from tidemark.sources.feeds import Feeds
 from tidemark.spec import Spec, midnight
 
@@ -50,12 +53,6 @@ def model_fit_fn(features: list[str], spec: Spec, kind: str = "mse", **options)
     return fit_fn
 
 
-def specs(features: list[str], spec: Spec) -> dict[str, FitFn]:
-    """Named ways to fit: by loss, by weighting, by quantile, and as a classifier."""
-    make = lambda kind, **o: model_fit_fn(features, spec, kind, **o)
-    return {"mse": make("mse"), "mae": make("mae"), "recency": make("recency", tau_days=30.0), "quantile_50": make("quantile", alpha=0.5), "quantile_60": make("quantile", alpha=0.6), "classifier": make("classifier")}
-
-
 def run_walk_forward(panel: DataFrame, tau: int, fit_fn: FitFn, folds: list[Fold], spec: Spec, step: int = 1) -> DataFrame | None:
     """One row of metrics for each symbol and fold; folds without rows on either side are left out."""
     out = None
@@ -71,14 +68,54 @@ def run_walk_forward(panel: DataFrame, tau: int, fit_fn: FitFn, folds: list[Fold
     return out
 
 
-def infer_symbol(trades: DataFrame) -> str:
-    """By the first ticker's name, else by the price level."""
-    row = trades.agg(F.first("ticker", ignorenulls=True).alias("ticker"), F.median("price").alias("price")).first() if "ticker" in trades.columns else trades.agg(F.lit(None).alias("ticker"), F.median("price").alias("price")).first()
-    name = (row["ticker"] or "").lower()
-    for symbol in ("btc", "eth"):
-        if symbol in name:
-            return symbol
-    return "btc" if (row["price"] or 0) > 10_000 else "eth"
+def infer_symbol(*frames: DataFrame) -> str | None:
+    """By the first ticker's name in any of the frames, else by the price level of the first; None without either."""
+    for frame in frames:
+        if "ticker" in frame.columns:
+            row = frame.where("ticker is not null").select("ticker").first()
+            for symbol in ("btc", "eth"):
+                if row is not None and symbol in row["ticker"].lower():
+                    return symbol
+    price = quantile(frames[0].withColumn("_one", F.lit(1)), ["_one"], "price", 0.5, "price").first()
+    return None if price is None else "btc" if price["price"] > 10_000 else "eth"
+
+
+def time_unit(value: int, low: str = "2009-01-01", high: str = "2100-01-01") -> str | None:
+    """The unit in which a timestamp lies between two dates: seconds, milliseconds, microseconds or nanoseconds."""
+    for unit, per_us in (("seconds", 1_000_000), ("milliseconds", 1_000), ("microseconds", 1), ("nanoseconds", 0.001)):
+        if midnight(low) <= value * per_us < midnight(high):
+            return unit
+    return None
+
+
+def to_micros(timestamp, unit: str):
+    """A timestamp column of a unit in microseconds."""
+    return {"seconds": timestamp * 1_000_000, "milliseconds": timestamp * 1_000, "microseconds": timestamp, "nanoseconds": X.floor_div(timestamp, 1_000)}[unit].cast("long")
+
+
+def model_path(folder: str, symbol: str, tau: int) -> str:
+    return f"{folder}/model_{symbol}_{tau}"
+
+
+def signal_frames(trades: DataFrame, bbo: DataFrame, liq_binance: DataFrame, liq_bybit: DataFrame, spec: Spec, models: str | None = None, filter_fn=None, thresholds: dict[int, float] | None = None, cost: float = 0.0, symbol: str | None = None) -> DataFrame:
+    """``signal`` on the four raw frames of one symbol: ``seq`` (place of the trade in its frame), ``f_30``, ``f_120``, ``f_300``.
+
+    ``models`` is a folder of ``ml.save``; the symbol is inferred where it is not given. Times of any unit are brought to microseconds.
+    """
+    sym = symbol or infer_symbol(trades, bbo)
+
+    def placed(frame: DataFrame) -> DataFrame:
+        first = frame.select("timestamp").first()
+        unit = "microseconds" if first is None else time_unit(first["timestamp"]) or "microseconds"
+        rows = frame.withColumns({"timestamp": to_micros(F.col("timestamp"), unit), "sym": F.lit(sym or ""), "seq": F.monotonically_increasing_id()})
+        return written(rows)  # places are fixed once
+
+    feeds = Feeds(sources.trades(placed(trades), spec), sources.book(placed(bbo)), sources.liquidations(placed(liq_binance), "binance", spec), sources.liquidations(placed(liq_bybit), "bybit", spec), spec)
+    found = {}
+    if models is not None and sym is not None and filter_fn is None:
+        found = {tau: ml.load(trades.sparkSession, model_path(models, sym, tau))[0] for tau in spec.taus}
+        found = {tau: m for tau, m in found.items() if m is not None}
+    return signal(feeds, found, filter_fn, thresholds, cost).withColumnRenamed("trade_id", "seq")
 
 
 def signal(feeds: Feeds, models: dict[int, ml.Model] | None = None, filter_fn=None, thresholds: dict[int, float] | None = None, cost: float = 0.0) -> DataFrame:

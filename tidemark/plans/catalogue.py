@@ -15,6 +15,7 @@ from tidemark.operators import features as P
 from tidemark.operators import grid as G
 from tidemark.operators import markout as M
 from tidemark.operators import ml as ML
+from tidemark.operators import study
 from tidemark.operators.asof import asof_mid, mids_at
 from tidemark.operators.lineage import written
 from tidemark.plans import oracle as O
@@ -300,7 +301,7 @@ def q_liq_markout(f: Feeds) -> DataFrame:
 
 # Offsets in seconds of the event studies.
 PROFILE_OFFSETS = (-60, -30, -20, -10, -5, -2, -1, -0.5, -0.2, -0.1, 0, 0.1, 0.2, 0.5, 1, 2, 5, 10, 20, 30, 60, 120, 180, 240, 300)
-IMPACT_OFFSETS = (-1, 0, 1, 2, 5, 10, 30)
+IMPACT_OFFSETS = (-1, -0.5, -0.1, 0, 0.1, 0.5, 1, 2, 5, 10, 30)
 
 
 @query(O.liq_profile(PROFILE_OFFSETS))
@@ -310,7 +311,13 @@ def q_liq_profile(f: Feeds) -> DataFrame:
 
 @query(O.trade_impact(IMPACT_OFFSETS))
 def q_trade_impact(f: Feeds) -> DataFrame:
-    return eda.trade_impact(f, f.trades, IMPACT_OFFSETS).select("sym", "side", F.col("offset").cast("long").alias("offset"), "n", *r("mean"))
+    return eda.trade_impact(f, f.trades, IMPACT_OFFSETS).select("sym", "side", *r("offset"), "n", *r("mean"))
+
+
+@query(O.impact_normalised(IMPACT_OFFSETS))
+def q_impact_normalised(f: Feeds) -> DataFrame:
+    """The impact over its mean before the trade."""
+    return study.pre_normalised(eda.trade_impact(f, f.trades, IMPACT_OFFSETS), ["sym", "side"], "offset", "mean").select("sym", "side", *r("offset", "mean"))
 
 
 @query(O.IMPACT_BY_SIZE)
@@ -340,8 +347,12 @@ def q_cascade_phases(f: Feeds) -> DataFrame:
 
 @query(O.PHASE_TAGS)
 def q_phase_tags(f: Feeds) -> DataFrame:
-    rows = eda.phase_tags(f, M.markouts(f, (120,)))
-    return rows.groupBy("sym", "phase").agg(F.count("*").alias("n"), X.rounded(F.avg("pnl_120")).alias("pnl_120"))
+    """Trades by phase, and the means of their markout and of four features."""
+    grid = G.at_second(f.trades, "trade_id", G.rolling(G.mid_grid(f)), ["rv_300", "ampl_300"], f.spec)
+    rows = eda.phase_tags(f, M.markouts(f, (120,))).join(grid, "trade_id")
+    for v in ("binance", "bybit"):
+        rows = rows.join(E.liquidation_windows(f, v, (300,)).select("trade_id", F.col("abs_300").alias(f"{v}_abs_300")), "trade_id")
+    return rows.groupBy("sym", "phase").agg(F.count("*").alias("n"), *[X.rounded(F.avg(c), d).alias(c) for c, d in (("pnl_120", 4), ("rv_300", 4), ("ampl_300", 4), ("binance_abs_300", 2), ("bybit_abs_300", 2))])
 
 
 @query(O.WCORR)
@@ -430,3 +441,56 @@ def q_report(f: Feeds) -> DataFrame:
         m = M.evaluate_filter(one, ["sym", "split"], f.spec).withColumn("method", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out.select("method", "sym", "split", *r("pnl_all", "pnl_kept", "score", "frac_w"), "n", "n_days")
+
+
+@query(O.REPORT_ALL)
+def q_report_horizons(f: Feeds) -> DataFrame:
+    """The report's four ways to filter at every horizon; the reference feature is the rule's score."""
+    rows = rule_rows(f).withColumn("ref", F.col("score"))
+    out = study.report(rows, f.spec.taus, lambda tau: "score", "ref", f.spec)
+    return out.select("method", "sym", "split", F.col("tau").cast("long").alias("tau"), *r("pnl_all", "pnl_kept", "score", "frac_n"), "constraint_ok", "n", "n_days")
+
+
+@query(O.MONTHLY)
+def q_monthly_stability(f: Feeds) -> DataFrame:
+    out = study.monthly_stability(rule_rows(f), f.spec.taus, lambda tau: "score", f.spec)
+    return out.select("sym", "month", F.col("tau").cast("long").alias("tau"), *r("pnl_all", "pnl_kept", "score", "frac_n"), "n", "n_days")
+
+
+#: Two folds of the fixture's month: training up to a day, less the embargo, and the ten days from it.
+FOLD_DAYS = (10, 20)
+
+
+@query(O.walk_forward(FOLD_DAYS))
+def q_walk_forward(f: Feeds) -> DataFrame:
+    """Walk-forward folds in which the cut of the rule's score is fitted on the training rows."""
+    rows, day = rule_rows(f), 86_400_000_000
+    first = f.spec.windows[0][1]
+    folds = [(first, first + d * day - f.spec.embargo_us, first + d * day, first + (d + 10) * day) for d in FOLD_DAYS]
+
+    def fit_fn(train: DataFrame, tau: int, step: int):
+        return lambda r: r, A.threshold_cv(train.withColumn("pnl", F.col(f"pnl_{tau}")), ["sym"], "score", f.spec, scale=step)
+
+    numbered = None
+    for i, fold in enumerate(folds):
+        one = study.evaluate_specs(rows, {"rule": fit_fn}, (30, 300), [fold], f.spec)
+        one = one.withColumn("fold", F.lit(i)) if one is not None else None
+        numbered = one if numbered is None else numbered.unionByName(one) if one is not None else numbered
+    return numbered.select("spec", "sym", F.col("tau").cast("long").alias("tau"), F.col("fold").cast("long").alias("fold"), *r("pnl_all", "pnl_kept", "score", "frac_n"), "n", "n_days")
+
+
+@query(O.MUTUAL)
+def q_mutual_information(f: Feeds) -> DataFrame:
+    return study.mutual_information(rule_rows(f), ["sym"], "score", "pnl_30").select("sym", *r("mi"))
+
+
+@query()
+def q_feature_missingness(f: Feeds) -> DataFrame:
+    """The twenty features of the panel with the largest share of missing values in any symbol."""
+    rows = P.panel(f)
+    return study.top_missing(A.missingness(rows, ["sym"], P.feature_columns(rows)))
+
+
+@query()
+def q_seeded_sample(f: Feeds) -> DataFrame:
+    return study.seeded_sample(f.trades, "trade_id", 500, 7).select("trade_id", "sym", "t")

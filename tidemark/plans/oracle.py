@@ -151,9 +151,9 @@ KEEP_BEST = _rule() + f", tr0 as (select sym, score as x, pnl_30 as y, w from ru
 THRESHOLD_CURVE = _rule() + f", k as (select * from rule where pnl_30 is not null), q as (select sym, unnest(list_distinct(quantile_cont(score, [{', '.join(str(i / 50) for i in range(50))}]))) as thr from k group by sym), v as (select k.sym, q.thr, t, w, pnl_30 as pnl, case when score < thr then 1 else 0 end as f from k join q on k.sym = q.sym), m as ({_metrics('sym, thr', 'v')}) select sym, {_round('thr pnl_kept score frac_w')}, n from m"
 
 
-def _cv(where: str = "true") -> str:
+def _cv(where: str = "true", tau: int = 30) -> str:
     """CTEs ending in ``best``: sym, thr, cv of the purged threshold search over the rows of the rule."""
-    return f"""k as (select sym, t, w, pnl_30 as pnl, score, row_number() over (partition by sym order by t, seq) - 1 as i, count(*) over (partition by sym) as n from rule where pnl_30 is not null and {where}),
+    return f"""k as (select sym, t, w, pnl_{tau} as pnl, score, row_number() over (partition by sym order by t, seq) - 1 as i, count(*) over (partition by sym) as n from rule where pnl_{tau} is not null and {where}),
  bl as (select *, {' + '.join(f'case when i >= floor(n * {j} / 5.0) then 1 else 0 end' for j in range(1, 5))} as blk from k),
  en as (select *, min(t) over (partition by sym, blk) as t0, max(t) over (partition by sym, blk) as t1 from bl),
  pu as (select * from en where (blk = 0 or t - t0 >= {300 * US}) and (blk = 4 or t1 - t >= {300 * US})),
@@ -174,7 +174,7 @@ STATS = FEEDS + f" select sym, count(*) as n, {rd('avg(notional)')} as mean, {rd
 QUANTILES = FEEDS + ", x as (select *, row_number() over (partition by sym order by t, seq) - 1 as i from trades) select sym, " + ", ".join(f"{rd(f'quantile_cont(notional, {p})')} as q{n}" for p, n in ((0.01, "010"), (0.5, "500"), (0.99, "990"))) + " from x where i % 3 = 0 group by sym"
 SAMPLE_TRADES = FEEDS + ", x as (select *, row_number() over (partition by sym order by t, seq) - 1 as i, greatest(1, (select count(*) from trades) // 1000) as step from trades) select trade_id, sym, t, cast(step as bigint) as step from x where i % step = 0"
 MISSING_MINUTES = FEEDS + _BARS + ", e as (select sym, min(minute) as a, max(minute) as b from bars group by sym), s as (select sym, unnest(generate_series(a, b)) as minute from e) select s.sym, s.minute // 1440 as day, count(*) as missing, min(s.minute) as first_missing from s left join bars on s.sym = bars.sym and s.minute = bars.minute where bars.minute is null group by 1, 2"
-ANOMALIES = FEEDS + ", e as (select sym, venue, t, count(*) as c, count(distinct (side, price, amount)) as d from liq group by 1, 2, 3) select sym, venue, cast(sum(c) as bigint) as n, cast(sum(c - 1) as bigint) as collisions, cast(sum(c - d) as bigint) as duplicates from e group by 1, 2"
+ANOMALIES = FEEDS + ", e as (select sym, venue, t, count(*) as c, count(distinct (side, price, amount)) as d from liq group by 1, 2, 3) select sym, venue, cast(sum(c) as bigint) as n, cast(sum(c - 1) as bigint) as collisions, cast(sum(c - d) as bigint) as duplicates, any_value(backward) as backward from e join (select sym, venue, count(case when t < before then 1 end) as backward from (select *, lag(t) over (partition by sym, venue order by seq) as before from liq) group by 1, 2) using (sym, venue) group by 1, 2"
 HOURLY = FEEDS + _BARS + f" select sym, (minute // 60) % 24 as hour, {rd('avg(n)')} as mean_n, {rd('avg(notional)')} as mean_notional from bars group by 1, 2"
 DAILY = FEEDS + _BARS + f" select sym, minute // 1440 as day, cast(sum(n) as bigint) as n, {rd('sum(notional)')} as notional, {rd('sum(buy_notional) / sum(notional)')} as buy_frac from bars group by 1, 2"
 BURST = FEEDS + _BARS + f" select sym, min(n) as min_n, {rd('median(n)')} as median_n, {rd('quantile_cont(n, 0.99)')} as p99_n, max(n) as max_n from bars group by sym"
@@ -196,9 +196,13 @@ def liq_profile(offsets) -> str:
     return FEEDS + f", offs(o, d) as (values {values}), q as (select seq, venue, sym, side, raw_t, o, raw_t + d as qt from liq cross join offs), " + _mid("m0", "liq", "seq", 0, "raw_t") + f", x as (select q.venue, q.sym, q.side, q.o, ((case when q.qt <= e.last_t then b.mid end) - m0.m) / m0.m * 1e4::double as move from q asof left join bbo b on q.sym = b.sym and q.qt >= b.t left join ends e on q.sym = e.sym join m0 on q.seq = m0.seq) select venue, sym, side, {rd('o')} as \"offset\", count(move) as n, {rd('avg(move)')} as mean, {rd('median(move)')} as median from x group by venue, sym, side, o having count(move) > 0"
 
 
-def trade_impact(offsets) -> str:
-    values = ", ".join(f"({o}, {o * US}::bigint)" for o in offsets)
-    return FEEDS + f", offs(o, d) as (values {values}), q as (select trade_id, sym, side, s, o, t + d as qt from trades cross join offs), " + _mid("m0", "trades", "trade_id", 0) + f", x as (select q.sym, q.side, q.o, q.s * ((case when q.qt <= e.last_t then b.mid end) - m0.m) / m0.m * 1e4::double as move from q asof left join bbo b on q.sym = b.sym and q.qt >= b.t left join ends e on q.sym = e.sym join m0 on q.trade_id = m0.trade_id) select sym, side, cast(o as bigint) as \"offset\", count(move) as n, {rd('avg(move)')} as mean from x group by sym, side, o"
+def trade_impact(offsets, shown=rd) -> str:
+    values = ", ".join(f"({float(o)}::double, {int(o * US)}::bigint)" for o in offsets)
+    return FEEDS + f", offs(o, d) as (values {values}), q as (select trade_id, sym, side, s, o, t + d as qt from trades cross join offs), " + _mid("m0", "trades", "trade_id", 0) + f", x as (select q.sym, q.side, q.o, q.s * ((case when q.qt <= e.last_t then b.mid end) - m0.m) / m0.m * 1e4::double as move from q asof left join bbo b on q.sym = b.sym and q.qt >= b.t left join ends e on q.sym = e.sym join m0 on q.trade_id = m0.trade_id) select sym, side, {rd('o')} as \"offset\", count(move) as n, {shown('avg(move)')} as mean from x group by sym, side, o"
+
+
+def impact_normalised(offsets) -> str:
+    return f"select sym, side, \"offset\", {rd('mean / nullif(avg(case when \"offset\" < 0 then mean end) over (partition by sym, side), 0)')} as mean from ({trade_impact(offsets, str)})"
 
 
 _ORDER = "order by t, seq * 2 + case when venue = 'bybit' then 1 else 0 end"
@@ -223,7 +227,9 @@ def around(points, closed: bool) -> str:
  select ba.sym, ba.point, {_round('move spread_bps obi_signed')}, {rd('depth_usd', 2)} as depth_usd, {rd('tr / n')} as trade_rate, {rd('fl / n')} as flow_signed, {rd(f'coalesce(binance, 0){mean}')} as binance, {rd(f'coalesce(bybit, 0){mean}')} as bybit from ba join fl on ba.sym = fl.sym and ba.point = fl.point left join ow on ba.sym = ow.sym and ba.point = ow.point"""
 
 
-PHASE_TAGS = _pnl((120,)) + _CASCADES + f", a as (select p.*, c.begin_t from pnl p asof left join cs c on p.sym = c.sym and p.t >= c.begin_t), b as (select a.*, n.begin_t as next_t from a asof left join cs n on a.sym = n.sym and a.t <= n.begin_t), x as (select *, case when next_t - t <= {30 * US} then 'pre' when t - begin_t >= 0 and t - begin_t < {5 * US} then 'begin' when t - begin_t >= {5 * US} and t - begin_t < {12 * US} then 'middle' when t - begin_t >= {12 * US} and t - begin_t < {30 * US} then 'end' when t - begin_t >= 0 and t - begin_t < {300 * US} then 'after' else 'quiet' end as phase from b) select sym, phase, count(*) as n, {rd('avg(pnl_120)')} as pnl_120 from x group by 1, 2"
+_OVER = "over (partition by mg.sym order by mg.sec rows between 299 preceding and current row)"
+_PHASE_FEATURES = _MIDS + f", rx as (select mg.sym, mg.sec, mg.mid, ln(mg.mid / lag(mg.mid) over (partition by mg.sym order by mg.sec)) as r, me.s1 from mg join me on mg.sym = me.sym), gx as (select mg.sym, mg.sec, mg.s1, case when count(r) {_OVER} = 300 then stddev_samp(r) {_OVER} * 1e4::double end as rv_300, case when count(mid) {_OVER} = 300 then (max(mid) {_OVER} - min(mid) {_OVER}) / mid * 1e4::double end as ampl_300 from rx mg)"
+PHASE_TAGS = _pnl((120,)) + _CASCADES + f", a as (select p.*, c.begin_t from pnl p asof left join cs c on p.sym = c.sym and p.t >= c.begin_t), b as (select a.*, n.begin_t as next_t from a asof left join cs n on a.sym = n.sym and a.t <= n.begin_t), x as (select *, case when next_t - t <= {30 * US} then 'pre' when t - begin_t >= 0 and t - begin_t < {5 * US} then 'begin' when t - begin_t >= {5 * US} and t - begin_t < {12 * US} then 'middle' when t - begin_t >= {12 * US} and t - begin_t < {30 * US} then 'end' when t - begin_t >= 0 and t - begin_t < {300 * US} then 'after' else 'quiet' end as phase from b) " + _PHASE_FEATURES + f" select x.sym, phase, count(*) as n, {', '.join(f'{rd(f"avg({c})", d)} as {c}' for c, d in (('pnl_120', 4), ('rv_300', 4), ('ampl_300', 4), ('binance_abs_300', 2), ('bybit_abs_300', 2)))} from x left join gx on x.sym = gx.sym and least(x.t // {US}, gx.s1) = gx.sec join (select trade_id, abs as binance_abs_300 from {_wins('binance', 300)}) wa on x.trade_id = wa.trade_id join (select trade_id, abs as bybit_abs_300 from {_wins('bybit', 300)}) wb on x.trade_id = wb.trade_id group by 1, 2"
 WCORR = _rule() + f", k as (select sym, split, score as x, pnl_30 as y, w from rule where pnl_30 is not null), z as (select sym, split, {_COV} as c, sqrt(greatest(sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) * (sum(w * x) / sum(w)), 0)) as sx, sqrt(greatest(sum(w * y * y) / sum(w) - (sum(w * y) / sum(w)) * (sum(w * y) / sum(w)), 0)) as sy from k group by 1, 2) select sym, split, {rd('c / (sx * sy + 1e-12)', 6)} as corr, cast(case when c >= 0 then 1 else -1 end as bigint) as direction from z"
 MISSINGNESS = _pnl() + " ".join(f"{'union all' if i else ''} select sym, 'pnl_{t}' as feature, {rd(f'avg(case when pnl_{t} is null then 1.0::double else 0.0::double end)', 6)} as missing from pnl group by sym" for i, t in enumerate((30, 120, 300)))
 WF_SUMMARY = _rule() + f", v as (select sym, (t - epoch_us(timestamp '2024-01-01')) // {10 * DAY} as fold, t, w, pnl_30 as pnl, case when score < 0 then 1 else 0 end as f from rule), m as ({_metrics('sym, fold', 'v')}) select sym, {rd('avg(score)')} as mean_score, {rd('stddev_samp(score)')} as std_score, {rd('min(score)')} as min_score, count(*) as n_folds, bool_and(constraint_ok) as all_ok from m group by sym"
@@ -240,12 +246,29 @@ EDGE = _rule() + ", " + _edges("ea", "rule", "sym") + ", tr1 as (select * from r
 RECENCY = FEEDS + f" select sym, t // {DAY} as day, {rd(f'sum(w * exp(-(((select max(t) from trades) - t) / {DAY}.0::double) / 10.0::double))', 2)} as w from trades group by 1, 2"
 
 
-def _report() -> str:
+def _report(tau: int = 30, names: tuple[str, ...] = ("keep_all", "sign", "best_half", "fitted"), keep: float = 0.5) -> str:
     ways = {"keep_all": "0", "sign": "case when r.score < 0 then 1 else 0 end", "best_half": "case when c.direction * r.score < c.cut then 1 else 0 end", "fitted": "case when r.score < b.thr then 1 else 0 end"}
-    union = " union all ".join(f"select '{n}' as method, r.sym, r.split, r.t, r.w, r.pnl_30 as pnl, {f} as f from rule r join c on r.sym = c.sym join best b on r.sym = b.sym where r.split in ('val', 'test')" for n, f in ways.items())
-    half = f"tr0 as (select sym, score as x, pnl_30 as y, w from rule where split = 'train'), dr as (select sym, case when {_COV} >= 0 then 1 else -1 end as direction from tr0 where y is not null group by sym), c as (select tr0.sym, dr.direction, quantile_cont(dr.direction * x, 0.5) as cut from tr0 join dr on tr0.sym = dr.sym group by 1, 2)"
-    cv = _cv("split = 'train'")
-    return _rule() + ", " + half + ", " + cv + f", v as ({union}), m as ({_metrics('method, sym, split', 'v')}) select method, sym, split, {_round('pnl_all pnl_kept score frac_w')}, n, n_days from m"
+    union = " union all ".join(f"select '{n}' as method, r.sym, r.split, r.t, r.w, r.pnl_{tau} as pnl, {f} as f from rule r join c on r.sym = c.sym join best b on r.sym = b.sym where r.split in ('val', 'test')" for n, f in zip(names, ways.values(), strict=True))
+    half = f"tr0 as (select sym, score as x, pnl_{tau} as y, w from rule where split = 'train'), dr as (select sym, case when {_COV} >= 0 then 1 else -1 end as direction from tr0 where y is not null group by sym), c as (select tr0.sym, dr.direction, quantile_cont(dr.direction * x, {1 - keep}) as cut from tr0 join dr on tr0.sym = dr.sym group by 1, 2)"
+    cv = _cv("split = 'train'", tau)
+    shown = f"{_round('pnl_all pnl_kept score frac_w')}, n, n_days" if tau == 30 and keep == 0.5 else f"{tau}::bigint as tau, {_round('pnl_all pnl_kept score frac_n')}, constraint_ok, n, n_days"
+    return _rule() + ", " + half + ", " + cv + f", v as ({union}), m as ({_metrics('method, sym, split', 'v')}) select method, sym, split, {shown} from m"
 
 
 REPORT = _report()
+REPORT_ALL = " union all ".join(f"select * from ({_report(tau, ('keep_all', 'expected_value', 'reference', 'score_max'), 0.1)})" for tau in (30, 120, 300))
+MONTHLY = _rule() + f", tall as ({_tall('rule', cols="sym, strftime(make_timestamp(t), '%Y-%m') as month, t, w, case when score < 0 then 1 else 0 end as f")}), m as ({_metrics('sym, month, tau', 'tall')}) select sym, month, tau::bigint as tau, {_round('pnl_all pnl_kept score frac_n')}, n, n_days from m"
+
+
+def walk_forward(days: tuple[int, ...]) -> str:
+    """Folds that train up to a day, less the embargo, and test on the ten days from it."""
+    first, parts = "epoch_us(timestamp '2024-01-01')", []
+    for i, d in enumerate(days):
+        for tau in (30, 300):
+            inside = f"t >= {first} + {d * DAY}::bigint and t < {first} + {(d + 10) * DAY}::bigint"
+            one = _rule() + ", " + _cv(f"t >= {first} and t < {first} + {d * DAY - 300 * US}::bigint", tau) + f", v as (select r.sym, r.t, r.w, r.pnl_{tau} as pnl, case when r.score < coalesce(b.thr, 0) then 1 else 0 end as f from rule r left join best b on r.sym = b.sym where {inside}), m as ({_metrics('sym', 'v')}) select 'rule' as spec, sym, {tau}::bigint as tau, {i}::bigint as fold, {_round('pnl_all pnl_kept score frac_n')}, n, n_days from m"
+            parts.append(f"select * from ({one})")
+    return " union all ".join(parts)
+
+
+MUTUAL = _rule() + f", kn as (select * from rule where pnl_30 is not null), c as (select r.sym, len(list_filter(qa.breaks, lambda z: z < r.score)) as a, len(list_filter(qb.breaks, lambda z: z < r.pnl_30)) as b, count(*)::double as n from kn r join {_breaks('score', 10, source='kn')} qa on r.sym = qa.sym join {_breaks('pnl_30', 10, source='kn')} qb on r.sym = qb.sym group by 1, 2, 3), s as (select *, sum(n) over (partition by sym) as al, sum(n) over (partition by sym, a) as la, sum(n) over (partition by sym, b) as lb from c) select sym, {rd('sum(n / al * ln(n * al / (la * lb)))')} as mi from s group by sym"

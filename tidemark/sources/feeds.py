@@ -64,16 +64,30 @@ class Catalog:
         return len(spark.read.schema(SCHEMAS[source]).parquet(self.path(source, symbol)).inputFiles())
 
 
-def validate_sorted(feed: DataFrame, bucket: int = 1 << 20) -> DataFrame:
-    """``sym, backward``: backward steps of ``t`` in the order of ``seq``; 0 for a sorted feed.
+def inventory(spark: SparkSession, catalog: Catalog, symbols: list[str]) -> DataFrame:
+    """``feed, sym, n, first_t, last_t, days, mb``: rows and times as the files' footers have them, and the files' size."""
+    out = None
+    for source in SCHEMAS:
+        for s in symbols:
+            path = catalog.path(source, s)
+            raw = spark.read.schema(SCHEMAS[source]).parquet(path)
+            size = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg((F.sum("length") / 1e6).alias("mb"))
+            one = raw.agg(F.count("*").alias("n"), F.min("timestamp").alias("first_t"), F.max("timestamp").alias("last_t")).crossJoin(F.broadcast(size))
+            one = one.select(F.lit(source).alias("feed"), F.lit(s).alias("sym"), "n", "first_t", "last_t", ((F.col("last_t") - F.col("first_t")) / 86_400_000_000.0).alias("days"), "mb")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def validate_sorted(feed: DataFrame, bucket: int = 1 << 20, by: tuple[str, ...] = ("sym",), time: str = "t") -> DataFrame:
+    """``by, backward``: backward steps of ``t`` in the order of ``seq``; 0 for a sorted feed.
 
     Places are dealt into buckets; a bucket's first row is compared with the last one of the bucket before.
     """
-    rows = feed.select("sym", "t", "seq", F.shiftright("seq", bucket.bit_length() - 1).alias("_b"))
-    back = F.col("t") < F.lag("t").over(Window.partitionBy("sym", "_b").orderBy("seq"))
-    inner = rows.withColumn("_back", back).groupBy("sym", "_b").agg(F.count_if("_back").alias("n"), F.min_by("t", "seq").alias("first"), F.max_by("t", "seq").alias("last"))
-    edge = F.col("first") < F.lag("last").over(Window.partitionBy("sym").orderBy("_b"))  # one row per bucket
-    return inner.withColumn("_edge", edge).groupBy("sym").agg((F.sum("n") + F.count_if("_edge")).alias("backward"))
+    rows = feed.select(*by, F.col(time).alias("t"), "seq", F.shiftright("seq", bucket.bit_length() - 1).alias("_b"))
+    back = F.col("t") < F.lag("t").over(Window.partitionBy(*by, "_b").orderBy("seq"))
+    inner = rows.withColumn("_back", back).groupBy(*by, "_b").agg(F.count_if("_back").alias("n"), F.min_by("t", "seq").alias("first"), F.max_by("t", "seq").alias("last"))
+    edge = F.col("first") < F.lag("last").over(Window.partitionBy(*by).orderBy("_b"))  # one row per bucket
+    return inner.withColumn("_edge", edge).groupBy(*by).agg((F.sum("n") + F.count_if("_edge")).alias("backward"))
 
 
 def trades(raw: DataFrame, spec: Spec, trade_id: Column | None = None) -> DataFrame:
@@ -105,13 +119,14 @@ def sample_trades(feed: DataFrame, target_rows: int) -> tuple[DataFrame, int]:
 
 @dataclass(frozen=True)
 class Feeds:
-    """The four feeds of a run."""
+    """The four feeds of a run. Where ``trades`` are a sample, ``tape`` has all of them, for the flow of each second."""
 
     trades: DataFrame
     book: DataFrame
     binance: DataFrame
     bybit: DataFrame
     spec: Spec
+    tape: DataFrame | None = None
 
     def liquidations(self, venue: str) -> DataFrame:
         return self.binance if venue == "binance" else self.bybit

@@ -49,6 +49,46 @@ def liquidations_before(trades: DataFrame, liquidations: DataFrame, spec: Spec,
     return a.join(b, (F.col("a.sym") == F.col("b.sym")) & span, "leftOuter")
 
 
+def asof_mid(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """Trades with the last mid of their symbol at or before them, as a state per symbol: columns ``sym, t, seq, mid, is_quote``.
+
+    Rows of a symbol wait until the watermark has passed them and are then read in the order (t, quotes first, seq). What a
+    symbol keeps is its last mid and the rows within the lateness.
+    """
+    import pandas as pd
+
+    def step(key, frames, state):
+        held, mid = (pd.DataFrame(list(state.get[0]), columns=["t", "is_quote", "seq", "mid"]), state.get[1]) if state.exists else (None, None)
+        rows = pd.concat([x for x in ([held] if held is not None else []) + [f[["t", "is_quote", "seq", "mid"]] for f in frames]])
+        mark = state.getCurrentWatermarkMs() * 1000
+        due = rows["t"] <= mark
+        ready = rows[due].sort_values(["t", "is_quote", "seq"], ascending=[True, False, True])
+        found = ready["mid"].where(ready["is_quote"]).ffill()
+        if mid is not None:
+            found = found.fillna(mid)
+        if len(found) and found.notna().any():
+            mid = float(found.iloc[-1])
+        left = rows[~due]
+        state.update(([tuple(r) for r in left.astype(object).itertuples(index=False)], mid))
+        if len(left):
+            state.setTimeoutTimestamp(max(int(left["t"].min() // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        out = ready.assign(sym=key[0], mid=found)[~ready["is_quote"].astype(bool)]
+        yield out[["sym", "t", "seq", "mid"]].astype({"t": "int64", "seq": "int64", "mid": "float64"})
+
+    rows = events.select("sym", "t", "seq", "mid", "is_quote", _time(F.col("t")).alias("at")).withWatermark("at", lateness)
+    held = "held array<struct<t: long, is_quote: boolean, seq: long, mid: double>>, mid double"
+    return rows.groupBy("sym").applyInPandasWithState(step, "sym string, t long, seq long, mid double", held, "append", "EventTimeTimeout")
+
+
+def to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream over what is there, in append mode, into Parquet files; state beyond the watermark is dropped, and a restart goes on."""
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what is there and returns the complete result."""
     query = stream.writeStream.outputMode("complete").format("memory").queryName(f"tidemark_{name}").trigger(availableNow=True).start()
