@@ -35,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and from one to the next, of a training window, and of the longest span that is added.
 WINDOW, STRIDE, TRAINED = 256, 128, 128
 LONGEST = 100
+#: Windows decoded at once; a window takes about 100 kB while it is.
+DECODED = 384
 #: Documents that lend contexts to the training, and windows taken from each at most.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 500, 6
 
@@ -158,7 +160,7 @@ class Network:
         score, back = e[0] + np.where(self.allowed[0], 0, -1e4), []
         for s in range(1, steps):
             all_ = score[:, :, None] + t
-            back.append(all_.argmax(1))
+            back.append(all_.argmax(1).astype(np.uint8))
             score = all_.max(1) + e[s]
         path = np.zeros((batch, steps), np.int64)
         path[:, -1] = score.argmax(1)
@@ -376,13 +378,13 @@ class Finder:
                     where.append((n, i * STRIDE))
                     last = i
         seen: dict[int, list] = {}
-        for at in range(0, len(windows), 2048):
-            part = windows[at : at + 2048]
+        for at in range(0, len(windows), DECODED):
+            part = windows[at : at + DECODED]
             ids = np.full((len(part), WINDOW), -1)
             for row, w in zip(ids, part, strict=True):
                 row[: len(w)] = w
             paths = self.net.decode(ids)
-            for (n, begin), path, w in zip(where[at : at + 2048], paths, part, strict=True):
+            for (n, begin), path, w in zip(where[at : at + DECODED], paths, part, strict=True):
                 if path.any():
                     for a, k, b in _runs(path[: len(w)]):
                         seen.setdefault(n, []).append((begin, begin + len(w), begin + a, k, begin + b))
