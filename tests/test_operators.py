@@ -333,6 +333,21 @@ def test_boosted_model_is_cut_and_not_fitted_again(spark, monkeypatch):
     assert sums[0] == pytest.approx(sums[1], abs=1e-9)
 
 
+def test_importance_scores_all_features_in_one_pass(spark, monkeypatch):
+    rows = small_panel(spark, 600).withColumn("w", F.col("w") + F.col("trade_id"))
+    model = ML.fit(rows, ["a", "b"], "pnl_30", iterations=5, depth=2, min_leaf=5)
+    error = lambda d: ML.predict(model, d, "_s").agg(F.sum(F.col("w") * (F.col("pnl_30") - F.col("_s")) * (F.col("pnl_30") - F.col("_s")))).first()[0]
+    dealt = [ML.shuffled(rows, ["a", "b"], "trade_id", 100 * k) for k in range(2)]
+    assert all(sorted(r[0] for r in d.select("_other.a").collect()) == sorted(r[0] for r in rows.select("a").collect()) for d in dealt)
+    mean = rows.agg(M.weighted_mean(F.col("pnl_30"), F.col("w"))).first()[0]
+    total = rows.agg(F.sum(F.col("w") * (F.col("pnl_30") - mean) * (F.col("pnl_30") - mean))).first()[0]
+    want = {c: (sum(error(d.withColumn(c, F.col(f"_other.{c}"))) for d in dealt) / 2 - error(rows)) / total for c in ("a", "b")}
+    calls, predict = [], ML.predict
+    monkeypatch.setattr(ML, "predict", lambda *a: calls.append(1) or predict(*a))
+    got = {r["feature"]: r["importance"] for r in ML.permutation_importance(model, rows, "pnl_30", repeats=2).collect()}
+    assert len(calls) == 1 and got == pytest.approx(want, abs=1e-9) and got["a"] > 0.1
+
+
 def test_model_queries_take_all_features_rounds_and_repeats(spark, monkeypatch):
     seen = {}
     panel = spark.createDataFrame([(1, "x", "train", 0.5, 1.0, 2.0)], "trade_id long, sym string, split string, pnl_30 double, obi double, rskew_30 double")
