@@ -250,6 +250,16 @@ def test_equal_windows_have_equal_sums_wherever_they_lie(spark):
     assert {r["net_5"] for r in got} == {math.fsum(values)} and {r["cnt_5"] for r in got} == {5}
 
 
+def test_quantiles_at_whole_ranks_are_values(spark):
+    for n in range(2, 3000):  # a rank that n p - p misses
+        missed = [k for k in range(50) if (n - 1) * k % 50 == 0 and n * (k / 50) - k / 50 < (n - 1) * (k / 50) == (n - 1) * k // 50]
+        if missed:
+            break
+    rows = spark.range(n).select(F.lit("a").alias("g"), (F.col("id") / 7).alias("v"))
+    got = Q.exact_quantiles(rows, ["g"], "v", [k / 50 for k in missed], pieces=16).first()["values"]
+    assert missed and got == [(n - 1) * k // 50 / 7 for k in missed]
+
+
 def test_place_counts_cuts_below(spark):
     cuts = [-2.0, 0.0, 0.0, 1.5, 7.0]
     rows = spark.createDataFrame([(float(x),) for x in (-9, -2, -1, 0, 1, 1.5, 6, 7, 99)], "x double").withColumn("cuts", F.array(*map(F.lit, cuts)))

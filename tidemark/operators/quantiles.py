@@ -27,7 +27,7 @@ def exact_quantiles(rows: DataFrame, by: list[str], x: str, points: list[float],
     placed = counted.withColumn("_last", so_far - 1)
     ahead = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = counted.groupBy(*by, "_p").agg(F.sum("_c").alias("_size"), F.first("_n").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_size").over(ahead), F.lit(0)))
-    at = [F.col("_n") * F.lit(p) - F.lit(p) for p in points]
+    at = [(F.col("_n") - 1) * F.lit(p) for p in points]  # not n p - p, which misses whole ranks by a bit
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("hi"), f(a).cast("long").alias("rank"), (a - F.floor(a)).alias("part")) for i, a in enumerate(at) for h, f in ((0, F.floor), (1, F.ceil))])
     asked = sizes.withColumn("_w", F.explode(wanted)).where((F.col("_w.rank") >= F.col("_ahead")) & (F.col("_w.rank") < F.col("_ahead") + F.col("_size")))
     asked = asked.select(*by, "_p", "_w.i", "_w.hi", "_w.part", (F.col("_w.rank") - F.col("_ahead")).alias("_rank"))
