@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -190,6 +191,67 @@ def test_subsequence_equals_dynamic_programming():
         assert decontam.subsequence(decontam._pattern(a), len(a), b) == table[-1][-1]
 
 
+def test_words_by_table_equal_those_of_the_expression():
+    marks = ["", "a_b-C3 \x00\x1c_", "ΟΔΟΣ ΣΑΣ.", "İstanbul DİL", "É\u0301cole ÑANDÚ ²½ x\u00a0y\u3000z", "漢字 \U00020000\U0010ffff A", "🙂Ok🙂 𝐀b", "\ud800A é"]
+    every = ["".join(f"{chr(c)}x " for c in range(lo, lo + 256)) for lo in range(0, 0x20400, 256)]
+    for text in marks + every:
+        assert decontam.split_words(text) == decontam.words_of(text)
+
+
+def test_sums_of_runs_equal_those_of_copied_rows():
+    rng = np.random.default_rng(5)
+    table = rng.integers(-9, 9, size=(50, 7)).astype(np.float32)
+    for sizes in ([1], [3, 1, 700, 2, 64, 65, 129], rng.integers(1, 30, size=2000)):
+        starts = np.cumsum(sizes) - sizes
+        rows = rng.integers(0, 50, size=sum(sizes))
+        assert np.array_equal(decontam._sums(table, rows, starts), np.add.reduceat(table[rows], starts, axis=0))
+
+
+def space_of(rng, n_items, vocab):
+    items = decontam.Items([(i, words(rng, rng.randrange(20, 60), vocab) + ".") for i in range(n_items)])
+    idf = np.linspace(1, 8, len(items.vocab) + 1) * (np.arange(len(items.vocab) + 1) % 3 > 0)
+    return decontam.Space(items, idf, np.random.default_rng(6).normal(size=(len(idf), 192)))
+
+
+def test_candidates_equal_those_of_all_windows():
+    rng = random.Random(7)
+    space = space_of(rng, 30, 4000)
+    docs = [np.array(rng.choices(range(len(space.items.vocab) + 1), k=k), np.uint32) for k in (0, 5, 16, 17, 64, 65, 400, 0, 2000, 90, 0)]
+    docs[6][100:160] = (space.items.codes[3] * 3)[:60]
+    docs[9][:60] = (space.items.codes[4] * 3)[:60]
+    want = []
+    for d, c in enumerate(docs):
+        size = -(-len(c) // decontam.CHUNK)
+        for n, span in enumerate(space.items.span):
+            for a in range(max(1, size - span + 1) if size else 0):
+                x = space.terms[c[a * decontam.CHUNK : (a + span) * decontam.CHUNK]].sum(0, dtype=np.float64)
+                length, dot = np.linalg.norm(x), x @ space.unit[n]
+                if length > 1e-4 and dot >= decontam.COSINE * length and dot >= decontam.SHARE * space.norm[n]:
+                    want.append((d, n, a, min(a + span, size), round(dot / length, 4)))
+    got = []
+    first = decontam._layout(docs, decontam.CHUNK)[2]
+    space._verify = lambda best, codes, first, d, n, a, b, cosine: got.append((d, n, a - first[d], b - first[d], round(cosine, 4)))
+    assert not space.plain and list(space.search(docs)) == [] and first[-1] == sum(-(-len(c) // decontam.CHUNK) for c in docs)
+    assert len(want) > 10 and sorted(got) == sorted(want)
+
+
+def test_decontamination_takes_a_few_times_as_long_as_finding_the_words():
+    rng = random.Random(8)
+    space = space_of(rng, 200, 4000)
+    texts = [words(rng, 500, 4000) for _ in range(300)]
+
+    def took(work):
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    ratio = took(lambda: list(space.search([space.items.encode(t) for t in texts]))) / took(lambda: [decontam.words_of(t) for t in texts])
+    assert ratio < 4, ratio
+
+
 def test_decontamination_on_odd_and_empty_tables(spark, odd, none):
     items = bench_rows(spark, [(1, "some words of an item. The answer here.", "x", 0.0), (2, None, "x", 0.0), (None, "", "x", 0.0)])
     assert decontam.search(odd, items).count() == 0 and decontam.search(none, items).count() == 0

@@ -5,9 +5,9 @@ chunks give TF-IDF rows; words in more than ``MAX_DF`` of the passages get no we
 passages' Gram matrix, stacked with the benchmark's at equal energy, is computed in one distributed pass (each
 partition adds its share of Gram x random matrix; the small factor is solved on the driver by Nystrom's formula), and gives the
 latent space. Windows of several lengths, one for each length class of the items, are compared with the items by cosine
-and by the share of the item's latent weight that they hold. Candidates are verified in the words themselves: a window
-leaks an item if it holds ``LCS`` of its words as a common subsequence, or ``PARAPHRASE`` of them together with nearly all of the answer
-(the item's last sentence).
+and by the share of the item's latent weight that they hold (products are taken by chunk and summed over windows). Candidates are
+verified in the words themselves: a window leaks an item if it holds ``LCS`` of its words as a common subsequence, or ``PARAPHRASE`` of
+them together with nearly all of the answer (the item's last sentence).
 
 The benchmark is a query set: it is taken in blocks of ``BLOCK_ITEMS`` items, each searched against all documents, so what a task
 holds is bounded whatever its size.
@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +43,32 @@ LCS, PARAPHRASE, ANSWER = 0.75, 0.5, 0.9
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _TOKENS = 1 << 16  # words handled at once
+_SCORES = 1 << 21  # products of chunks and items held at once
+_RUN, _RUNS = 64, 512  # rows of a run that are added one by one, and runs handled at once
+_COMMON = 0x20000  # characters of the table
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+@cache
+def _letters() -> tuple[bytes, np.ndarray]:
+    """Each byte of ASCII, and each common character, in lower case; a space for what is of no word, 0 where that takes more than the character."""
+    lower = [x if (x := chr(c).lower()).isalnum() or x == "_" else " " if len(x) == 1 else "\0" for c in range(_COMMON)]
+    lower[0x3A3] = lower[-1] = "\0"  # a sigma, which has another lower case at the end of a word; what is beyond the table
+    return "".join(lower[:128]).encode() + bytes(128), np.array([ord(x) for x in lower], dtype="<u4")
+
+
+def split_words(text: str) -> list[str]:
+    """``words_of`` by a table of characters, which is faster."""
+    ascii, common = _letters()
+    if text.isascii():
+        return text.encode().translate(ascii).decode().split()
+    lower = common.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), mode="clip")
+    return lower.tobytes().decode("utf-32-le").split() if lower.all() else words_of(text)
+
+
 def answer_of(text: str) -> list[str]:
     """The last sentence of an item that has at least two words, else all of it."""
     for part in reversed(_SENTENCE.findall(text)):
@@ -89,19 +111,65 @@ class Items:
         self.span = [-(-5 * len(c) // (4 * CHUNK)) + 1 for c in self.codes]
 
     def encode(self, text: str) -> np.ndarray:
-        get = self.vocab.get
-        return np.array([get(w, 0) for w in words_of(text)], dtype=np.uint32)
+        words = split_words(text)
+        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.uint32, len(words))
 
 
 def _codes(value: bytes) -> np.ndarray:
     return np.frombuffer(value, np.uint32)
 
 
+def _layout(docs: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of all documents in a row, the part of ``length`` words that each lies in, and each document's first part (then their number)."""
+    sizes = np.array([len(d) for d in docs])
+    first = np.concatenate([[0], np.cumsum(-(-sizes // length))])
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.concatenate(docs), np.repeat(first[:-1], sizes) + place // length, first
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+
+
+def _sums(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of the ``rows`` of ``table`` in each run, without a copy of them all: the runs' first rows are added, then their second ones, and so on."""
+    length = np.diff(np.append(starts, len(rows)))
+    if length.max(initial=0) > _RUN:  # long runs are cut
+        cuts = np.flatnonzero((np.arange(len(rows)) - np.repeat(starts, length)) % _RUN == 0)
+        return np.add.reduceat(_sums(table, rows, cuts), np.searchsorted(cuts, starts), axis=0)
+    out = np.empty((len(starts), table.shape[1]), table.dtype)
+    total, part = np.empty((2, min(_RUNS, len(starts)), table.shape[1]), table.dtype)
+    order = np.argsort(-length)
+    for lo in range(0, len(starts), _RUNS):
+        runs = order[lo : lo + _RUNS]
+        at, sizes = starts[runs], length[runs]
+        np.take(table, rows[at], axis=0, out=total[: len(runs)], mode="clip")
+        for k in range(1, sizes[0]):
+            n = np.searchsorted(-sizes, -k)  # longer than k
+            np.take(table, rows[at[:n] + k], axis=0, out=part[:n], mode="clip")
+            total[:n] += part[:n]
+        out[runs] = total[: len(runs)]
+    return out
+
+
+def _lengths(chunks: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Lengths of the sums of chunks ``begin`` to ``end``, a bounded number of them at once."""
+    out = np.empty(len(begin))
+    most = max(1, _TOKENS // max(1, (end - begin).max(initial=1)))
+    for lo in range(0, len(begin), most):
+        size = (end - begin)[lo : lo + most]
+        starts = np.cumsum(size) - size
+        rows = np.repeat(begin[lo : lo + most] - starts, size) + np.arange(size.sum())
+        out[lo : lo + most] = np.linalg.norm(_sums(chunks, rows, starts), axis=1)
+    return out
+
+
 class Space:
     """The latent space of a block of items: weighted term vectors, and the items in it."""
 
     def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray):
-        self.items, self.idf = items, idf
+        self.items, self.weighted = items, idf != 0
         self.terms = (idf[:, None] * basis).astype(np.float32)
         vectors = np.stack([self.terms[c].sum(0) for c in items.codes])
         self.norm = np.maximum(1e-6, np.linalg.norm(vectors, axis=1))
@@ -111,35 +179,22 @@ class Space:
 
     def search(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, float, int]]:
         """(document, item, cosine, share of words, share of answer, first word) of each leak, the best window of each pair."""
-        spans = sorted(set(self.items.span))
+        spans = np.array(self.items.span)
         for lo, hi in _pieces([len(d) for d in docs]):
             codes = docs[lo:hi]
-            size = np.array([-(-len(c) // CHUNK) for c in codes])
-            first = np.concatenate([[0], np.cumsum(size)])
-            chunks = np.zeros((first[-1] + 1, self.terms.shape[1]), np.float32)
-            for n, c in enumerate(codes):
-                at = np.flatnonzero(self.idf[c])
-                if len(at):
-                    where = at // CHUNK
-                    starts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-                    chunks[first[n] + where[starts] + 1] = np.add.reduceat(self.terms[c[at]], starts, axis=0)
-            sums = np.cumsum(chunks, axis=0, dtype=np.float64)
-            doc = np.repeat(np.arange(len(codes)), size)
-            place = np.arange(first[-1]) - first[doc]
+            row, part, first = _layout(codes, CHUNK)
+            chunks = np.zeros((first[-1], self.terms.shape[1]), np.float32)
+            if len(at := np.flatnonzero(self.weighted[row])):
+                row, part = row[at], part[at]
+                starts = _starts(part)
+                chunks[part[starts]] = _sums(self.terms, row, starts)
             best: dict[tuple[int, int], tuple] = {}
-            for span in spans:
-                begin = np.flatnonzero((place == 0) | (place + span <= size[doc]))
-                end = np.minimum(begin + span, first[doc[begin] + 1])
-                x = (sums[end] - sums[begin]).astype(np.float32)
-                length = np.linalg.norm(x, axis=1)
-                some = length > 1e-4
-                begin, end, x, length = begin[some], end[some], x[some], length[some]
-                which = np.array([n for n, s in enumerate(self.items.span) if s == span])
-                dot = x @ self.unit[which].T
-                w, i = np.nonzero((dot >= COSINE * length[:, None]) & (dot >= SHARE * self.norm[which]))
-                cosine = dot[w, i] / length[w]
-                for a, b, n, c in zip(begin[w], end[w], which[i], cosine, strict=True):
-                    self._verify(best, codes, first, doc[a], int(n), a, b, float(c))
+            most = max(1, _SCORES // max(1, len(chunks)))
+            for span in np.unique(spans):
+                which = np.flatnonzero(spans == span)
+                for n in range(0, len(which), most):
+                    for d, i, a, b, cosine in self._candidates(chunks, first, int(span), which[n : n + most]):
+                        self._verify(best, codes, first, d, i, a, b, cosine)
             for n in self.plain:
                 for d in range(len(codes)):
                     for a in range(first[d], max(first[d] + 1, first[d + 1] - self.items.span[n] + 1)):
@@ -147,6 +202,29 @@ class Space:
             for (d, n), (cosine, words, answer, start) in sorted(best.items()):
                 yield lo + d, n, cosine, words, answer, int(start)
 
+    def _candidates(self, chunks: np.ndarray, first: np.ndarray, span: int, which: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """(document, item, first chunk, end, cosine) of windows of ``span`` chunks near one of the items ``which``, in order for each item.
+
+        A window's product with an item is the sum of its chunks' products, so its own vector is summed up only where it has the share.
+        """
+        sums = np.empty((len(which), len(chunks) + 1))
+        sums[:, 0] = 0
+        np.cumsum(self.unit[which] @ chunks.T, axis=1, dtype=np.float64, out=sums[:, 1:])
+        least = (SHARE * self.norm[which])[:, None]
+        dots = sums[:, span:] - sums[:, :-span]
+        i, begin = np.nonzero(dots >= least)
+        dot, doc = dots[i, begin], np.searchsorted(first, begin, side="right") - 1
+        inside = begin + span <= first[doc + 1]
+        short = np.flatnonzero(np.diff(first) < span)  # documents of one window
+        dots = sums[:, first[short + 1]] - sums[:, first[short]]
+        j, of = np.nonzero(dots >= least)
+        i, dot, doc, begin = (np.concatenate(x) for x in ((i[inside], j), (dot[inside], dots[j, of]), (doc[inside], short[of]), (begin[inside], first[short[of]])))
+        windows, at, same = np.unique(begin, return_index=True, return_inverse=True)
+        length = _lengths(chunks, windows, np.minimum(windows + span, first[doc[at] + 1]))[same]
+        for k in np.flatnonzero((length > 1e-4) & (dot >= COSINE * length)).tolist():
+            a, d = int(begin[k]), int(doc[k])
+            yield d, int(which[i[k]]), a, min(a + span, int(first[d + 1])), float(dot[k] / length[k])
+
     def _verify(self, best, codes, first, d, n, a, b, cosine) -> None:
         start = (a - first[d]) * CHUNK
         window = codes[d][start : (b - first[d]) * CHUNK].tolist()
@@ -171,10 +249,6 @@ def _pieces(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def _passages(codes: np.ndarray) -> np.ndarray:
-    return np.arange(len(codes)) // (CHUNK * PASSAGE)
-
-
 def fit(encoded: DataFrame, items: Items) -> Space:
     """Document frequencies, then the latent space, from all passages of ``encoded`` (column ``codes``)."""
     size = len(items.vocab) + 1
@@ -182,11 +256,12 @@ def fit(encoded: DataFrame, items: Items) -> Space:
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(size, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                codes = _codes(value.as_py())
-                seen = np.unique(_passages(codes) * size + codes)
-                df += np.bincount(seen % size, minlength=size)
-                df[0] += -(-len(codes) // (CHUNK * PASSAGE)) - (seen % size == 0).sum()
+            docs = [_codes(v.as_py()) for v in batch.column(0)]
+            for lo, hi in _pieces([len(d) for d in docs]):
+                codes, row, first = _layout(docs[lo:hi], CHUNK * PASSAGE)
+                seen = np.sort((row * size + codes)[codes > 0])
+                df += np.bincount(seen[_starts(seen)] % size, minlength=size)
+                df[0] += first[-1]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(df)], names=["code", "df"])
 
     got = encoded.mapInArrow(frequencies, "code long, df long").groupBy("code").agg(F.sum("df").alias("df")).collect()
@@ -202,22 +277,20 @@ def fit(encoded: DataFrame, items: Items) -> Space:
     rank = min(RANK, size - 1)
     wide = min(rank + OVERSAMPLE, size)
     random = np.random.default_rng(17).normal(size=(size, wide)).astype(np.float32)
+    scaled, square = idf.astype(np.float32)[:, None] * random, (idf**2).astype(np.float32)
 
     def add(gram: np.ndarray, codes: np.ndarray, row: np.ndarray) -> int:
-        """Adds Gram x random of normalised TF-IDF rows; returns their number."""
-        keep = np.flatnonzero(idf[codes])
+        """Adds Gram x random of normalised TF-IDF rows, but for a last factor ``idf`` of each code; returns their number."""
+        keep = np.flatnonzero(square[codes])
         codes, row = codes[keep], row[keep]
         if not len(codes):
             return 0
-        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        length = np.diff(np.concatenate([starts, [len(row)]]))
-        weight = idf[codes].astype(np.float32)
-        projected = np.add.reduceat(weight[:, None] * random[codes], starts, axis=0) / np.add.reduceat(weight**2, starts)[:, None]
-        order = np.argsort(codes, kind="stable")
-        sorted_codes = codes[order]
-        cuts = np.flatnonzero(np.concatenate([[True], sorted_codes[1:] != sorted_codes[:-1]]))
-        of = np.repeat(np.arange(len(starts)), length)[order]
-        gram[sorted_codes[cuts]] += np.add.reduceat(weight[order][:, None] * projected[of], cuts, axis=0)
+        starts = _starts(row)
+        projected = _sums(scaled, codes, starts) / np.add.reduceat(square[codes], starts)[:, None]
+        order = np.argsort(codes)
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(row))))[order]
+        cuts = _starts(codes[order])
+        gram[codes[order[cuts]]] += _sums(projected, of, cuts)
         return len(starts)
 
     part = 256  # codes of a block of the Gram product
@@ -227,11 +300,8 @@ def fit(encoded: DataFrame, items: Items) -> Space:
         for batch in batches:
             docs = [_codes(v.as_py()) for v in batch.column(0)]
             for lo, hi in _pieces([len(d) for d in docs]):
-                base, places = 0, []
-                for d in docs[lo:hi]:
-                    places.append(_passages(d) + base)
-                    base += -(-len(d) // (CHUNK * PASSAGE))
-                rows += add(gram, np.concatenate(docs[lo:hi]), np.concatenate(places))
+                rows += add(gram, *_layout(docs[lo:hi], CHUNK * PASSAGE)[:2])
+        gram *= idf[:, None]
         for n, at in enumerate(range(0, size, part)):
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([gram[at : at + part].tobytes()], pa.binary()), pa.array([rows if n == 0 else 0])], names=["block", "gram", "rows"])
 
@@ -253,7 +323,7 @@ def fit(encoded: DataFrame, items: Items) -> Space:
         rows += r["rows"]
     own = np.zeros((size, wide), np.float32)
     n = add(own, np.concatenate([np.array(c) for c in items.codes]), np.repeat(np.arange(len(items.codes)), [len(c) for c in items.codes]))
-    gram = gram.astype(np.float64) + own * max(1.0, rows / max(1, n))
+    gram = gram.astype(np.float64) + own * idf[:, None] * max(1.0, rows / max(1, n))
     # Nystrom: M is about G (R'G)^-1 G' for G = M R.
     core = random.T.astype(np.float64) @ gram
     values, vectors = np.linalg.eigh((core + core.T) / 2)
