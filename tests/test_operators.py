@@ -367,6 +367,26 @@ def test_importance_scores_all_features_in_one_pass(spark, monkeypatch):
     assert len(calls) == 1 and got == pytest.approx(want, abs=1e-9) and got["a"] > 0.1
 
 
+@pytest.mark.parametrize("kind", ["mse", "classifier", "quantile"])
+def test_importance_predicts_each_row_once(spark, monkeypatch, kind):
+    """The growth of the error is that of predictions of changed rows, for all kinds of models and trees of more than 63 leaves; no row is predicted more than once."""
+    mixed = lambda i: F.pmod(F.xxhash64("trade_id", F.lit(i)), F.lit(1000)) / 1000.0
+    rows = small_panel(spark, 600).select("trade_id", F.lit(1.0).alias("w"), mixed(1).alias("a"), F.when(mixed(2) > 0.1, mixed(2)).alias("b"), F.lit(3.0).alias("c"))
+    rows = rows.withColumn("pnl_30", F.sin(F.col("a") * 9) + F.coalesce("b", F.lit(2.0)) * F.col("a") - 0.6).localCheckpoint()
+    model = ML.fit(rows, ["a", "b", "c"], "pnl_30", kind, iterations=3, depth=8 if kind == "mse" else 3, min_leaf=1)
+    if kind == "mse":
+        assert max(t.numNodes for t in model.stages[0].trees) > 126
+    error = lambda d: ML.predict(model, d, "_s").agg(F.sum((F.col("pnl_30") - F.col("_s")) ** 2)).first()[0]
+    total = rows.agg(F.var_pop("pnl_30") * F.count("*")).first()[0]
+    dealt = ML.shuffled(rows, ["a", "b", "c"], "trade_id", 0)
+    want = {c: (error(dealt.withColumn(c, F.col(f"_other.{c}"))) - error(rows)) / total for c in ("a", "b", "c")}
+    seen, predict = [], ML.predict
+    monkeypatch.setattr(ML, "predict", lambda m, d, name: seen.append(d.count()) or predict(m, d, name))
+    got = {r["feature"]: r["importance"] for r in ML.permutation_importance(model, rows, "pnl_30", repeats=1).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and got["a"] > 0.01 and got["c"] == 0
+    assert seen == [rows.count()]
+
+
 def test_model_queries_take_all_features_rounds_and_repeats(spark, monkeypatch):
     seen = {}
     panel = spark.createDataFrame([(1, "x", "train", 0.5, 1.0, 2.0)], "trade_id long, sym string, split string, pnl_30 double, obi double, rskew_30 double")
